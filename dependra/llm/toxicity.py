@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments.
 
 Every token gets a log-odds score, toxic against other text. The counts carry Dirichlet priors that back
-off from the word to its first five, four and three characters, so inflected or unseen forms of a known
+off from the word to its first six, five and four characters, so inflected or unseen forms of a known
 stem are scored by the stem. A linear scan finds all maximal-scoring segments of a text (disjoint, each of
 positive score, none extendable). Under ordinary text the best score of a text of n tokens follows an
 extreme-value law with parameters lambda and K, fitted on the training texts that are not toxic; a
@@ -15,49 +15,47 @@ repeated rows and other columns pass through; with no usable labels every score
 from __future__ import annotations
 
 import math
-import re
+import string
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._common import fold_of, labelled_sample, prepare, table
 
 LEVELS = (0, 6, 5, 4)  #: whole word, then prefixes
 PRIOR = (2.0, 2.0, 4.0, 8.0)  #: Dirichlet mass that each level takes from the next coarser one
-VOCABULARY = 200_000  #: most table entries of a model (20 bytes each), the strongest first: its proven size bound
+VOCABULARY = 200_000  #: most table entries of a model (a short string and a number each), the strongest first: its proven size bound
 LEAST = 3  #: documents that a table entry needs
 CAUTION = 1.0  #: standard deviations taken off a token's positive log-odds
 DRIFT = 0.75  #: taken off every token, so that ordinary text scores below zero
 SAMPLE = 20_000  #: most labelled rows that are learned from
-CACHE = 200_000
-_TRIM = re.compile(r"^[\W_]+|[\W_]+$")
+CACHE = 300_000
+_EDGE = string.punctuation + "«»“”„‘’…–—¡¿"
 
 
-def _word(token: str) -> str:
-    return _TRIM.sub("", token)
+def parts(word: str):
+    """(level, part) of a word, from the whole word to its shortest prefix."""
+    return [(n, word[:n] if n else word) for n in LEVELS if len(word) > n]
 
 
-def _key(word: str, level: int) -> int:
-    part = word if not level else word[:level]
-    return xxhash.xxh64_intdigest(f"{level}\x00{part}".encode("utf-8", "surrogatepass")) >> 1
-
-
-def document_keys(batches):
-    """Of (text, y) batches: a row (key, y, n) for each table entry and class met, with its number of documents."""
+def document_parts(batches):
+    """Of (text, y) batches: a row (level, part, y, n) for each table entry and class met, with its number of documents."""
     import pyarrow as pa
 
     for b in batches:
-        counts: list[dict[int, int]] = [{}, {}]
+        counts: list[dict[tuple[int, str], int]] = [{}, {}]
         for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
-            words = {w for t in set((text or "").lower().split()) if (w := _word(t))}
+            words = {w for t in set((text or "").lower().split()) if (w := t.strip(_EDGE))}
             own = counts[y]
-            for k in {_key(w, n) for w in words for n in LEVELS if len(w) > n}:
+            for k in {p for w in words for p in parts(w)}:
                 own[k] = own.get(k, 0) + 1
         for y, own in enumerate(counts):
-            yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.int64()), pa.array([y] * len(own), pa.int32()), pa.array(own.values(), pa.int64())], ["key", "y", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in own], pa.int32()), pa.array([k[1] for k in own], pa.string()), pa.array([y] * len(own), pa.int32()), pa.array(own.values(), pa.int64())], ["level", "part", "y", "n"]
+            )
 
 
 def maximal_segments(scores) -> list[tuple[int, int, float]]:
@@ -67,12 +65,11 @@ def maximal_segments(scores) -> list[tuple[int, int, float]]:
     positive element merges backwards with the nearest candidate whose left total is smaller than its own,
     as long as the right total of that candidate is smaller too.
     """
-    total, found = 0.0, []  # found: start, end, total before, total after, the nearest earlier one with a smaller total before
-    for i, s in enumerate(scores):
-        before = total
-        total += s
-        if s <= 0:
-            continue
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total after, the nearest earlier one with a smaller total before
+    totals = list(accumulate(scores))
+    for i in [i for i, s in enumerate(scores) if s > 0]:
+        total = totals[i]
+        before = total - scores[i]
         start, j = i, len(found) - 1
         while True:
             while j >= 0 and found[j][2] >= before:
@@ -101,11 +98,9 @@ class TokenScores(dict):
 
 @dataclass
 class ToxicityModel:
-    """``keys`` sorted with ``counts`` of documents by class; lam, log_k: extreme-value law; curve: logistic."""
+    """``odds``: by level, the score of each table entry; lam, log_k: extreme-value law; curve: logistic."""
 
-    keys: np.ndarray | None = None
-    counts: np.ndarray | None = None
-    totals: tuple[float, float] = (1.0, 1.0)
+    odds: dict[int, dict[str, float]] | None = None
     lam: float = 1.0
     log_k: float = 0.0
     curve: tuple[float, float] = (0.0, 0.0)
@@ -122,37 +117,22 @@ class ToxicityModel:
         self.__post_init__()
 
     def token_score(self, token: str) -> float:
-        w = _word(token)
-        if not w or self.keys is None or not len(self.keys):
-            return -DRIFT
-        n0, n1 = self.totals
-        r0 = r1 = 1.0 / (n0 + n1)
-        c0 = c1 = 0.0
-        for level, mass in zip(reversed(LEVELS), reversed(PRIOR)):
-            if len(w) <= level:
-                continue
-            k = _key(w, level)
-            i = int(np.searchsorted(self.keys, k))
-            if i < len(self.keys) and self.keys[i] == k:
-                c0, c1 = map(float, self.counts[i])
-                # the coarser level's ratio, at the scale of this level's own rate
-                scale = (c0 + c1) / (n0 + n1) / (r0 + r1) * 2
-                r0, r1 = (c0 + mass * min(1.0, r0 * scale)) / (n0 + mass), (c1 + mass * min(1.0, r1 * scale)) / (n1 + mass)
-                r0, r1 = max(r0, 0.05 / n0), max(r1, 0.05 / n1)
-        odds = math.log(r1 / r0)
-        if odds > 0:
-            odds = max(0.0, odds - CAUTION * math.sqrt(1 / (c0 + 1) + 1 / (c1 + 1)))
-        return min(8.0, max(-1.0, odds)) - DRIFT
+        """The score of the finest table entry that covers the token."""
+        w = token.strip(_EDGE)
+        if self.odds:
+            for n in LEVELS:
+                if len(w) > n and (s := self.odds[n].get(w[:n] if n else w)) is not None:
+                    return s
+        return -DRIFT
 
     def scores_of(self, text: str) -> list[float]:
         """Token scores; the k-th occurrence of a token that speaks for toxicity counts a k-th part, since words come in bursts."""
         tokens = text.lower().split()
         scores = list(map(self._seen.__getitem__, tokens))
         times: dict[str, int] = {}
-        for i, s in enumerate(scores):
-            if s > 0:
-                times[tokens[i]] = k = times.get(tokens[i], 0) + 1
-                scores[i] = s / k
+        for i in [i for i, s in enumerate(scores) if s > 0]:
+            times[tokens[i]] = k = times.get(tokens[i], 0) + 1
+            scores[i] /= k
         return scores
 
     def segments(self, text: str) -> list[tuple[int, int, float]]:
@@ -168,6 +148,30 @@ class ToxicityModel:
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, a + b * math.log1p(total)))))
 
 
+def log_odds(table: dict[tuple[int, str], tuple[float, float]], n0: float, n1: float) -> dict[int, dict[str, float]]:
+    """Cautious log-odds of each entry (level, part) with (documents of class 0, of class 1), coarse levels as priors of fine ones."""
+    out: dict[int, dict[str, float]] = {n: {} for n in LEVELS}
+    for level, part in table:
+        r0 = r1 = 1.0 / (n0 + n1)
+        c0 = c1 = 0.0
+        for n, mass in zip(reversed(LEVELS), reversed(PRIOR)):
+            if n and (len(part) < n or len(part) == n and level != n) or not n and level:
+                continue
+            counts = table.get((n, part[:n] if n else part))
+            if counts is None:
+                continue
+            c0, c1 = counts
+            # the coarser level's ratio, at the scale of this level's own rate
+            scale = (c0 + c1) / (n0 + n1) / (r0 + r1) * 2
+            r0, r1 = (c0 + mass * min(1.0, r0 * scale)) / (n0 + mass), (c1 + mass * min(1.0, r1 * scale)) / (n1 + mass)
+            r0, r1 = max(r0, 0.05 / n0), max(r1, 0.05 / n1)
+        odds = math.log(r1 / r0)
+        if odds > 0:
+            odds = max(0.0, odds - CAUTION * math.sqrt(1 / (c0 + 1) + 1 / (c1 + 1)))
+        out[level][part] = min(8.0, max(-1.0, odds)) - DRIFT
+    return out
+
+
 def _lambda_of(scores: np.ndarray) -> float:
     """The positive root of E[exp(lambda s)] = 1 over ordinary tokens."""
     if not len(scores) or scores.max() <= 0 or scores.mean() >= 0:
@@ -235,16 +239,16 @@ def fit(sample: DataFrame) -> ToxicityModel:
     if len(totals) < 2:
         return model
     n0, n1 = float(totals[0]), float(totals[1])
-    counts = sample.select("text", "y").mapInArrow(document_keys, "key long, y int, n long")
+    counts = sample.select("text", "y").mapInArrow(document_parts, "level int, part string, y int, n long")
     c0, c1 = F.col("c0"), F.col("c1")
     z = F.log((c1 + 0.5) / n1) - F.log((c0 + 0.5) / n0)
     strongest = (
-        counts.groupBy("key").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c0"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("c1"))
+        counts.groupBy("level", "part").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c0"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("c1"))
         .where(c0 + c1 >= LEAST)
-        .select("key", "c0", "c1", (z * z / (1 / (c1 + 0.5) + 1 / (c0 + 0.5))).alias("z2"))
-        .orderBy(F.desc("z2"), "key").limit(VOCABULARY).drop("z2").toPandas().sort_values("key")
+        .select("level", "part", "c0", "c1", (z * z / (1 / (c1 + 0.5) + 1 / (c0 + 0.5))).alias("z2"))
+        .orderBy(F.desc("z2"), "level", "part").limit(VOCABULARY).toPandas()
     )
-    model.keys, model.counts, model.totals = strongest.key.to_numpy(np.int64), strongest[["c0", "c1"]].to_numpy(np.float32), (n0, n1)
+    model.odds = log_odds({(lv, p): (a, b) for lv, p, a, b in zip(strongest.level, strongest.part, strongest.c0, strongest.c1)}, n0, n1)
     cast = spark.sparkContext.broadcast(model)
     seen = sample.select("text", "y").mapInArrow(lambda it: _observe(cast, it), "y int, n long, raw array<double>, hist array<long>").collect()
     hist = np.sum([r.hist for r in seen], axis=0) if seen else np.zeros(len(_MIDS))
