@@ -252,6 +252,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seeds: Sequence[int] =
     return join_by_weight(rows, classes, ["fps"], "n", rows.count())
 
 
+def keep_one(docs: DataFrame, words: int = WORDS, seeds: Sequence[int] = (SEED,), bits: int = BITS) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, of rows that repeat it the first.
+
+    Only fingerprints and ids are exchanged; the kept rows are then read by their row number.
+    """
+    prepare(docs.sparkSession)
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = materialize(fingerprints(numbered.select("__row", F.col("doc_id").cast("long").alias("doc_id"), "text"), words=words, seeds=seeds, column="fps").select("__row", "doc_id", "fps"), "fps")
+    classes = materialize(classes_of(rows, bits), "components")
+    met = join_by_weight(rows, classes, ["fps"], "n", rows.count())
+    # a null id comes after all others
+    first = F.min_by("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+    by = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fps")).alias("fps"))
+    kept = met.withColumn("by", by).groupBy("by").agg(first.alias("__row")).select("__row")
+    return numbered.join(kept.hint("shuffle_hash"), "__row", "left_semi").drop("__row")
+
+
 def op4_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
