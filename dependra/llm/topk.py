@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ._common import materialize, prepare, table
 
 K = 20
-PIVOTS = 32
+PIVOTS = 24
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 8192
-STEP = 256  #: candidates evaluated at a time, in bound order
+STEP = 256  #: candidates of the first chunk, in bound order
 SCALE = 64.0
 
 
@@ -69,40 +69,53 @@ def pivots_of(x: np.ndarray, count: int) -> np.ndarray:
 
 
 def search_block(qid, q, xid, x, k: int, pivots: int = PIVOTS, step: int = STEP):
-    """Exact k best of one candidate block for each query: (query row, candidate row, score) and the number evaluated.
+    """Exact k best of one candidate block for each query: (query row, candidate rows, scores), and the number evaluated.
 
     ``q`` and ``x`` are integer matrices. Products are exact in floats as long as they stay under 2**53;
-    larger ones are computed in Python integers.
+    larger ones are computed in Python integers. Bounds are single-precision with an allowance for it.
+    Candidates are taken in bound order, chunk by chunk of growing size.
     """
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
-    exact = bound < 2.0**52
+    peak = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
+    exact = peak < 2.0**52
     qf, xf = q.astype(float), x.astype(float)
     own = (xf**2).sum(1)
     top = float(own.max(initial=0.0))
     lift = np.column_stack([xf, np.sqrt(np.maximum(top - own, 0.0))])
     ql = np.column_stack([qf, np.zeros(len(qf))])
     p = pivots_of(lift, pivots)
-    distance = lambda a: np.sqrt(np.maximum((a**2).sum(1)[:, None] + (p**2).sum(1) - 2 * a @ p.T, 0.0))
+    distance = lambda a: np.sqrt(np.maximum((a**2).sum(1) + (p**2).sum(1)[:, None] - 2 * p @ a.T, 0.0)).astype(np.float32)
     dq, dx = distance(ql), distance(lift)
     q2 = (qf**2).sum(1)
-    slack = 1e-6 * (1.0 + top + float(q2.max(initial=0.0)))
+    slack = 1e-5 * (1.0 + top + float(q2.max(initial=0.0)))
     out, evaluated = [], 0
+    gap = np.empty(len(x), np.float32)
     for i in range(len(q)):
-        lower = np.abs(dx - dq[i]).max(1)
-        reach = (q2[i] + top - lower * lower) / 2 + slack  # no candidate scores more
-        reach[xid == qid[i]] = -np.inf
-        order = np.argsort(-reach, kind="stable")
-        rows = np.empty(0, np.int64)
-        scores = np.empty(0, np.int64 if exact else object)
-        for s in range(0, len(order), step):
-            part = order[s : s + step]
-            if reach[part[0]] == -np.inf or len(rows) >= k and reach[part[0]] < float(scores[-1]):
+        lower = np.abs(dx[0] - dq[0, i])
+        for row, d in zip(dx[1:], dq[1:, i]):
+            np.subtract(row, d, out=gap)
+            np.abs(gap, out=gap)
+            np.maximum(lower, gap, out=lower)
+        reach = (float(q2[i]) + top) / 2 + slack - lower.astype(float) ** 2 / 2  # no candidate scores more
+        left = np.flatnonzero(xid != qid[i])
+        rows, scores, size = np.empty(0, np.int64), np.empty(0, np.int64 if exact else object), step
+        while len(left):
+            if len(rows) >= k:
+                left = left[reach[left] >= float(scores[-1])]
+            if len(left) > size:
+                cut = np.argpartition(reach[left], len(left) - size)
+                part, left = left[cut[len(left) - size :]], left[cut[: len(left) - size]]
+            else:
+                part, left = left, left[:0]
+            if not len(part):
                 break
-            part = part[reach[part] > -np.inf]
             evaluated += len(part)
-            new = np.rint(xf[part] @ qf[i]).astype(np.int64) if exact else (x[part].astype(object) @ q[i].astype(object))
+            size *= 4
+            new = np.rint(xf[part] @ qf[i]).astype(np.int64) if exact else x[part].astype(object) @ q[i].astype(object)
+            if exact and len(part) > 4 * k:  # ties with the k-th stay
+                good = new >= np.partition(new, len(new) - k)[len(new) - k]
+                part, new = part[good], new[good]
             rows, scores = np.concatenate([rows, part]), np.concatenate([scores, new])
-            best = sorted(range(len(rows)), key=lambda j: (-scores[j], xid[rows[j]]))[:k] if not exact else np.lexsort((xid[rows], -scores))[:k]
+            best = np.lexsort((xid[rows], -scores))[:k] if exact else sorted(range(len(rows)), key=lambda j: (-scores[j], xid[rows[j]]))[:k]
             rows, scores = rows[best], scores[best]
         out.append((i, rows, scores))
     return out, evaluated
