@@ -108,6 +108,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     )
 
 
+def bitmap_word(position: Column) -> Column:
+    """The row of a bit map, 2**15 positions each, that holds a position."""
+    return F.bitmap_bucket_number(position)
+
+
+def bitmap_of(position: Column) -> Column:
+    """Aggregate: the bit map of the positions of one row."""
+    return F.bitmap_construct_agg(F.bitmap_bit_position(position))
+
+
+def bit_is_set(bitmap: Column, position: Column) -> Column:
+    """Whether a position's bit is set; false without a bit map."""
+    at = F.bitmap_bit_position(position)
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+
+
 HOT_SHARE = 1000
 
 

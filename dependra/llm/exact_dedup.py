@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._common import join_by_weight, lower_az, materialize, table
+from ._common import bit_is_set, bitmap_of, bitmap_word, join_by_weight, lower_az, materialize, table
 
 HASHES = 2
 MOST_BITS = 1 << 28
@@ -41,14 +41,7 @@ def repeat_filter(digests: DataFrame, digest: str, bits: int) -> DataFrame:
     """``word, map``: the bit map of the positions that two or more rows share."""
     each = digests.select(F.explode(F.array(*[F.struct(F.lit(i).alias("h"), p.alias("p")) for i, p in enumerate(_positions(F.col(digest), bits))])).alias("x"))
     often = each.groupBy("x.h", "x.p").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return often.groupBy("h", F.bitmap_bucket_number(F.col("p")).alias("word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p"))).alias("map"))
-
-
-def _bit(bitmap: Column, position: Column) -> Column:
-    """Whether a bit of Spark's binary bit map is set."""
-    at = F.bitmap_bit_position(position)
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return often.groupBy("h", bitmap_word(F.col("p")).alias("word")).agg(bitmap_of(F.col("p")).alias("map"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -68,8 +61,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     for i, p in enumerate(_positions(F.col("text_sha256"), bits)):
         # at most bits / 2**15 rows of 4 KiB
         words = repeats.where(F.col("h") == i).select(F.col("word").alias(f"__w{i}"), F.col("map").alias(f"__m{i}"))
-        tested = tested.join(F.broadcast(words), F.bitmap_bucket_number(p) == F.col(f"__w{i}"), "left")
-        hit = hit & F.col(f"__m{i}").isNotNull() & _bit(F.col(f"__m{i}"), p)
+        tested = tested.join(F.broadcast(words), bitmap_word(p) == F.col(f"__w{i}"), "left")
+        hit = hit & bit_is_set(F.col(f"__m{i}"), p)
     tested = tested.withColumn("__hit", hit).drop(*[f"__{k}{i}" for k in "wm" for i in range(HASHES)])
     alone = tested.where(~F.col("__hit")).select(
         "*", F.col(doc_id).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")

@@ -8,7 +8,7 @@ which they differ are variable fields. Every other line is a template of its own
 when its leading line stands in ``MIN_DOCS`` documents. Lines of recurring templates are dropped from every
 document but the first that holds the template (smallest id).
 
-Only digests and 15-bit token marks are exchanged for this, counted per task first; templates that hold
+Only digests, and of leaves with a template 15-bit token marks, are exchanged for this, counted per task first; templates that hold
 over a thousandth of all occurrences, fewer than a thousand, are joined by broadcast. Texts go through one
 exchange by document id with their own lists of dropped templates.
 
@@ -22,18 +22,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._common import join_by_weight, materialize, table
+from ._common import bit_is_set, bitmap_of, bitmap_word, join_by_weight, materialize, table
 
 DEPTH = 3
 MIN_TOKENS = 3
 MIN_DOCS = 3
 SIMILARITY = 0.75
+LEAF_BITS = 1 << 24  #: of the bit map of leaves that have a template: 2 MiB
 
 
 def templates(text: Column) -> Column:
     """The lines of a text with uniform white space and variable fields for tokens with a digit."""
-    plain = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[ \t\r\f\x0B]+", " ")
-    masked = F.regexp_replace(plain, r"[^ \n]*[0-9][^ \n]*", "<*>")
+    raw = F.coalesce(text.cast("string"), F.lit(""))
+    plain = F.when(raw.rlike(r"[\t\r\f\x0B]|  "), F.regexp_replace(raw, r"[ \t\r\f\x0B]+", " ")).otherwise(raw)
+    # tried at token starts alone, and without backtracking
+    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")).otherwise(plain)
     return F.transform(F.split(masked, "\n"), lambda line: F.trim(line))
 
 
@@ -50,10 +53,10 @@ def _id(doc_id: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit(""))
 
 
-def recurring(docs: DataFrame, doc_id: str, text: str, depth: int, min_tokens: int, min_docs: int, similarity: float) -> DataFrame:
-    """``line`` (digest), ``first`` (id of the document that keeps it), ``n`` (documents) of all lines that recurring templates cover."""
+def line_table(docs: DataFrame, doc_id: str, text: str, depth: int, min_tokens: int) -> DataFrame:
+    """``id, line, leaf, marks`` of the distinct templates of each document: the one pass over all texts."""
     tokens = _tokens(F.col("line"))
-    lines = (
+    return (
         docs.select(F.col(doc_id).alias("id"), F.explode(F.array_distinct(templates(F.col(text)))).alias("line"))
         .where(F.size(tokens) >= min_tokens)
         .select(
@@ -62,7 +65,20 @@ def recurring(docs: DataFrame, doc_id: str, text: str, depth: int, min_tokens: i
             F.transform(tokens, lambda t: F.xxhash64(t).bitwiseAND(F.lit(0x7FFF)).cast("short")).alias("marks"),
         )
     )
-    counted = materialize(lines.groupBy("leaf", "line").agg(F.any_value("marks").alias("marks"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first")), "lines")
+
+
+def recurring(lines: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+    """``line`` (digest), ``first`` (id of the document that keeps it), ``n`` (documents) of all lines that recurring templates cover.
+
+    ``lines`` is a written :func:`line_table`. Its leaves without a template are set aside first, by a bit
+    map of ``LEAF_BITS`` bits; a leaf let through by a shared bit has no template, which the join finds.
+    """
+    often = lines.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    position = F.col("leaf").bitwiseAND(F.lit(LEAF_BITS - 1))
+    flagged = often.groupBy(bitmap_word(position).alias("__word")).agg(bitmap_of(position).alias("__map"))
+    flagged = materialize(flagged, "leaves")  # at most LEAF_BITS / 2**15 rows of 4 KiB
+    some = lines.join(F.broadcast(flagged), bitmap_word(position) == F.col("__word")).where(bit_is_set(F.col("__map"), position)).drop("__word", "__map")
+    counted = materialize(some.groupBy("leaf", "line").agg(F.any_value("marks").alias("marks"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first")), "lines")
     leaves = (
         counted.groupBy("leaf").agg(
             F.max_by(F.struct("line", "marks", "n"), F.struct("n", F.hex("line").alias("order"))).alias("top"), F.count(F.lit(1)).alias("__n")
@@ -87,13 +103,12 @@ def drop_recurring_lines(
     min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, most: float = 1.0, counts: bool = False,
 ) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``; with ``counts`` also ``n_lines`` and ``n_dropped``."""
-    covered = materialize(recurring(docs, doc_id, text, depth, min_tokens, min_docs, similarity), "recurring")
+    table_ = materialize(line_table(docs, doc_id, text, depth, min_tokens), "line-table")
+    covered = materialize(recurring(table_, min_docs, similarity), "recurring")
     total = covered.agg(F.sum("n")).first()[0] or 0
-    held = docs.select(_id(doc_id).alias("__id"), F.col(doc_id).alias("__own"), F.explode(F.array_distinct(templates(F.col(text)))).alias("line"))
-    held = held.where(F.size(_tokens(F.col("line"))) >= min_tokens).withColumn("line", _digest(F.col("line")))
-    held = materialize(held, "held")
+    held = table_.select(F.col("id").alias("__own"), "line")
     lost = join_by_weight(held, covered, ["line"], "n", total).where(~F.col("__own").eqNullSafe(F.col("first")))
-    lost = lost.groupBy("__id").agg(F.collect_set("line").alias("__lost"))
+    lost = lost.groupBy(_id("__own").alias("__id")).agg(F.collect_set("line").alias("__lost"))
     met = docs.withColumn("__id", _id(doc_id)).join(lost.hint("shuffle_hash"), "__id", "left").drop("__id")
     lines = F.split(F.col(text), "\n")
     kept = F.filter(F.arrays_zip(lines.alias("line"), templates(F.col(text)).alias("template")), lambda x: ~F.array_contains(F.col("__lost"), _digest(x["template"])))
