@@ -33,6 +33,11 @@ class Columns:
     def greatest(cls, a, b) -> Column:
         return F.greatest(cls.of(a), cls.of(b))
 
+    @staticmethod
+    def let(x: Column, f) -> Column:
+        """``f`` of a value that it uses many times: bound once, so the expression stays small."""
+        return F.transform(F.array(x), f)[0]
+
     @classmethod
     def bisect(cls, f, lo, hi, steps: int) -> Column:
         """The root of an increasing ``f`` between ``lo`` and ``hi`` by halving, as one higher-order expression."""
@@ -58,6 +63,10 @@ class Numbers:
     def of(x):
         return x
 
+    @staticmethod
+    def let(x, f):
+        return f(x)
+
     @staticmethod
     def bisect(f, lo, hi, steps: int):
         lo, hi = np.broadcast_arrays(np.asarray(lo, float), np.asarray(hi, float))

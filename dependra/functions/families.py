@@ -253,7 +253,11 @@ class Joe(Family):
 
 class Gaussian(Family):
     def log_pdf(self, m, u, v, r):
-        x, y = s.norm_ppf(m, u), s.norm_ppf(m, v)
+        return self.log_pdf_scores(m, s.norm_ppf(m, u), s.norm_ppf(m, v), r)
+
+    @staticmethod
+    def log_pdf_scores(m, x, y, r):
+        """The same from normal scores."""
         k = 1.0 - r * r
         return -0.5 * m.log(k) - 0.5 * (r * r * (x * x + y * y) - 2.0 * r * x * y) / k
 

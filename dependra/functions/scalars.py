@@ -150,9 +150,8 @@ def norm_ppf(m, p):
 
 def norm_ppf_refined(m, p):
     """One Newton step on top of Acklam's form."""
-    x = norm_ppf(m, p)
-    p = clip(m, p, UNIT_EPS)
-    return x - (norm_cdf(m, x) - p) / (m.exp(-0.5 * x * x) / math.sqrt(2.0 * math.pi))
+    q = clip(m, p, UNIT_EPS)
+    return m.let(norm_ppf(m, p), lambda x: x - (norm_cdf(m, x) - q) / (m.exp(-0.5 * x * x) / math.sqrt(2.0 * math.pi)))
 
 
 def erfc(m, x):
@@ -177,4 +176,4 @@ def erfc(m, x):
 
 
 def norm_cdf(m, x):
-    return 0.5 * erfc(m, -x / math.sqrt(2.0))
+    return m.let(-x / math.sqrt(2.0), lambda t: 0.5 * erfc(m, t))

@@ -79,6 +79,18 @@ def gas_path(copula: Copula, u: np.ndarray, v: np.ndarray, params, scaling: str
     return out, float(np.sum(copula.log_pdf(num, u, v, link.forward(num, out)))) if len(u) else 0.0
 
 
+def gas_likelihoods(copula: Copula, u: np.ndarray, v: np.ndarray, params: np.ndarray, scaling: str = "unit") -> np.ndarray:
+    """Log-likelihood of one series under each row (omega, gamma, beta) of a matrix, all in one pass."""
+    omega, gamma, beta = np.asarray(params, float).T
+    link = copula.base.link(copula.link)
+    g = np.array([gas_start(o, b) for o, b in zip(omega, beta)])
+    total = np.zeros(len(g))
+    for t in range(len(u)):
+        total += copula.log_pdf(num, u[t], v[t], link.forward(num, g))
+        g = gas_update(num, copula, u[t], v[t], g, omega, gamma, beta, scaling)
+    return total
+
+
 def filter_groups(df: DataFrame, copula: Copula, u: str, v: str, params, by: Sequence[str], order: Sequence[str], scaling: str = "unit") -> DataFrame:
     """Every row with its state ``g``, parameter ``r`` and ``e2``, the distribution of v given u at it (Rosenblatt)."""
     link = copula.base.link(copula.link)
