@@ -71,7 +71,7 @@ def t_ppf(p, df):
     for _ in range(80):
         e = t_cdf(x, df) - p
         lo, hi = np.where(e < 0, x, lo), np.where(e < 0, hi, x)
-        step = x - e / np.exp(t_logpdf(x, df))
+        step = x - e / np.maximum(np.exp(t_logpdf(x, df)), 1e-300)
         new = np.where((step > lo) & (step < hi), step, (np.maximum(lo, -1e6) + np.minimum(hi, 1e6)) / 2)
         if np.all(np.abs(new - x) <= 1e-12 * (1 + np.abs(x))):
             x = new

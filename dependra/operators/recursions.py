@@ -93,6 +93,8 @@ def gas_likelihoods(copula: Copula, u: np.ndarray, v: np.ndarray, params: np.nda
 
 def filter_groups(df: DataFrame, copula: Copula, u: str, v: str, params, by: Sequence[str], order: Sequence[str], scaling: str = "unit") -> DataFrame:
     """Every row with its state ``g``, parameter ``r`` and ``e2``, the distribution of v given u at it (Rosenblatt)."""
+    if clash := {"g", "r", "e2"} & set(df.columns):
+        raise ValueError(f"columns named {sorted(clash)} are there already; rename them first")
     link = copula.base.link(copula.link)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
