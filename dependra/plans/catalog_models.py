@@ -302,3 +302,41 @@ def _risk(spark, d) -> DataFrame:
 
 
 add("risk_metrics", _risk)
+
+# moving parameters of several variables
+_EV3 = ["u", "v", "w"]
+
+
+def _triples(spark, d) -> DataFrame:
+    """Ranks of a value and of its two predecessors, by user."""
+    from pyspark.sql import Window
+
+    at = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = read(spark, d, "events").select("user_id", "event_id", "ts", "value").withColumn("p1", F.lag("value", 1).over(at)).withColumn("p2", F.lag("value", 2).over(at)).where("p2 is not null")
+    got = ranks.pseudo_observations(e, ["value", "p1", "p2"], ["event_id"], ["user_id"])
+    return got.select("user_id", "event_id", F.col("u_value").alias("u"), F.col("u_p1").alias("v"), F.col("u_p2").alias("w"))
+
+
+def _dynamic(model, method):
+    from ..operators import dynamic
+
+    return lambda spark, d: dynamic.fit_series(_triples(spark, d), _EV3, ["user_id"], ["event_id"], model, method).select("user_id", "method", r6(F.col("log_likelihood"), 2).alias("log_likelihood"))
+
+
+def _dynamic_vines(spark, d) -> DataFrame:
+    from ..operators import dynamic
+
+    return dynamic.fit_vines(_triples(spark, d), _EV3, ["user_id"], ["event_id"], "r", "gas").select("user_id", "tree", "a", "b", "family", "rotation", "method")
+
+
+add("fit_equicorr_mle_by_user", _dynamic("equicorr", "mle"))
+add("fit_equicorr_gas_by_user", _dynamic("equicorr", "gas"))
+add("fit_equicorr_scar_by_user", _dynamic("equicorr", "scar-tm-ou"))
+add("fit_vines_gas_by_user", _dynamic_vines)
+add(
+    "gaussian_hinv_round_trip",
+    lambda spark, d: event_pobs(spark, d).groupBy("user_id").agg(
+        (F.max(F.abs(Copula("gaussian").h(col, Copula("gaussian").h_inv(col, F.col("u"), F.col("v"), F.lit(0.5)), F.col("v"), F.lit(0.5)) - F.col("u"))) < 1e-7).alias("exact"), F.count(F.lit(1)).alias("n")
+    ),
+    f"SELECT user_id, true AS exact, count(*) AS n FROM ({sql.event_pobs()}) GROUP BY user_id",
+)
