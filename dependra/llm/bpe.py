@@ -19,8 +19,9 @@ from collections.abc import Callable, Iterable
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._common import prepare, table
 
@@ -250,9 +251,6 @@ def _digests(c: Codec, ids: list[int]) -> tuple:
 
 def decode(rows: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
     """``rows`` with the bytes of their ids; a null list gives null."""
-    from pyspark.sql import functions as F
-    import pandas as pd
-
     prepare(rows.sparkSession)
     with open(ranks_path, "rb") as f:
         cast = rows.sparkSession.sparkContext.broadcast(f.read())

@@ -14,7 +14,8 @@ query, and a second, windowed step takes the k best of all. Ties go to the small
 
 Edge cases: vectors that are null, empty or hold a null or non-finite component take no part, on either
 side; vectors of another length than the most frequent one (ties: the longer) take no part either; fewer than k candidates
-give all of them; repeated ids are rows of their own, and a query never meets rows of its own id.
+give all of them; repeated ids are rows of their own, and a query never meets rows of its own id; scores
+that a long cannot hold are ranked exactly and written as its largest or smallest value.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 8192
 STEP = 256  #: candidates of the first chunk, in bound order
 SCALE = 64.0
+LONG = (1 << 63) - 1
 
 
 def quantized(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -128,7 +130,7 @@ def _search(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
         q, x = np.frombuffer(r.q_data, "<i8").reshape(len(qid), -1), np.frombuffer(r.x_data, "<i8").reshape(len(xid), -1)
         found, _ = search_block(qid, q, xid, x, k)
         for i, rows, scores in found:
-            parts.append(pd.DataFrame({"query_id": qid[i], "vec_id": xid[rows], "score": np.asarray(scores, np.int64)}))
+            parts.append(pd.DataFrame({"query_id": qid[i], "vec_id": xid[rows], "score": np.array([max(-LONG, min(LONG, int(v))) for v in scores], np.int64)}))
     return pd.concat(parts) if parts else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
 
 
