@@ -11,6 +11,7 @@ from ..functions import scalars as s
 from ..functions.backend import col
 from ..functions.families import Copula
 from ..operators import aggregates as agg, ranks, recursions as rec, windows as win
+from ..shipping import ship
 from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,7 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], oracle: str
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
