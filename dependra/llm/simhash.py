@@ -7,9 +7,10 @@ positions: a pair that shares 8 - d bytes shares at least m among those. Within
 positional bytes of pairs are tallied, those below the guaranteed 8 - d are dropped and the rest verified by
 their differing bits.
 
-Equal fingerprints are one class from the start, so copies never form pairs. A posting list is searched
-breadth first from its smallest member: whoever is reached leaves the list, so a list of near copies costs
-about its length and yields a spanning forest, never all pairs. In lists over ``MOST``
+Equal fingerprints are one class from the start, so copies never form pairs. Lists of up to ``TALLY``
+members are tallied pair by pair, many lists at once. A longer list is searched breadth first from its
+smallest member: whoever is reached leaves the list, so a list of near copies costs about its length and
+yields a spanning forest, never all pairs. In lists over ``MOST``
 members those near a pivot are linked with it, and what this leaves to compare is cut into blocks, which
 meet in tasks of bounded size; no member is dropped. Components
 grow from the forests by alternating large-star and small-star steps on checkpointed tables.
@@ -30,12 +31,13 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import join_by_weight, materialize, prepare, table
+from ._common import HOT_SHARE, join_by_weight, materialize, prepare, table
 
 WORDS = 4
 SEED = 42
 BITS = 4
 MOST = 512  #: members of a posting list that one task takes
+TALLY = 24  #: members of a list whose pairs are all tallied
 CHUNK = 1 << 16
 
 
@@ -78,12 +80,15 @@ def position_sets(bits: int) -> list[tuple[int, ...]]:
     return list(combinations(range(8 - shared + m), m))
 
 
-def _key(number: int, positions: tuple[int, ...]):
-    mask = 0
-    for p in positions:
-        mask |= 0xFF << (8 * p)
-    mask -= (mask >> 63) << 64  # as a signed long
-    return F.struct(F.lit(number).alias("set"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bytes"))
+def _index(classes: DataFrame, bits: int) -> DataFrame:
+    """``seed, fp, copies, set, bytes``: each fingerprint under every position set; ``set`` counts the seed in."""
+    sets = position_sets(bits)
+    keys = []
+    for number, positions in enumerate(sets):
+        mask = sum(0xFF << (8 * p) for p in positions)
+        mask -= (mask >> 63) << 64  # as a signed long
+        keys.append(F.struct((F.col("seed") * len(sets) + number).alias("set"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bytes")))
+    return classes.select("seed", "fp", "copies", F.explode(F.array(*keys)).alias("key")).select("seed", "fp", "copies", "key.set", "key.bytes")
 
 
 def _near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -126,67 +131,94 @@ def bridges(a: np.ndarray, b: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return out
 
 
-_LINKS = "a long, b long"
+_LINKS = "seed int, a long, b long"
 
 
-def links(classes: DataFrame, bits: int = BITS, most: int = MOST) -> DataFrame:
-    """``a, b``: links that span the components of the distinct fingerprints ``fp`` (rows fp, copies)."""
-    keys = F.explode(F.array(*[_key(i, p) for i, p in enumerate(position_sets(bits))]))
-    index = classes.select("fp", "copies", keys.alias("key"))
-    # lists of one member have no pair
-    lists = index.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("copies", "fp"))["fp"].alias("pivot")).where("members > 1")
-    lists = materialize(lists.withColumn("weight", F.col("members")), "lists")
-    total = lists.agg(F.sum("members"), F.max("members")).first()
-    if not total[0]:
-        return classes.sparkSession.createDataFrame([], _LINKS)
-    rows = join_by_weight(index.drop("copies"), lists, ["key"], "weight", total[0])
+def _short_lists(rows: np.ndarray, bits: int, most: int) -> pd.DataFrame:
+    """Links of whole lists, from rows (set, bytes, seed, fp) sorted by list: lists of up to ``TALLY`` members all at once, shift by shift."""
+    key, seed, fp = rows[:, :2], rows[:, 2], rows[:, 3]
+    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])) if len(rows) else np.empty(0, np.int64)
+    sizes = np.diff(np.concatenate([starts, [len(fp)]]))
+    out = []
+    ends = np.repeat(starts + sizes, sizes)
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= TALLY), sizes))
+    for shift in range(1, TALLY):
+        at = at[at + shift < ends[at]]
+        if not len(at):
+            break
+        hit = at[_near(fp[at], fp[at + shift], bits)]
+        out.append(np.column_stack([seed[hit], fp[hit], fp[hit + shift]]))
+    for i in np.flatnonzero((sizes > TALLY) & (sizes <= most)):
+        out.append(_frame(forest(fp[starts[i] : starts[i] + sizes[i]], bits), int(seed[starts[i]])).to_numpy())
+    return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 3), np.int64), columns=["seed", "a", "b"])
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame(forest(pdf.fp.to_numpy(np.int64), bits))
 
-    out = rows.where(F.col("members") <= most).select("key", "fp").groupBy("key").applyInPandas(within, _LINKS)
-    if total[1] > most:
-        large = materialize(rows.where(F.col("members") > most), "large")
-        out = out.unionByName(_large_lists(large, bits, most))
-    return out.distinct()
+def _frame(pairs, seed: int) -> pd.DataFrame:
+    ab = np.array(pairs, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"seed": np.full(len(ab), seed, np.int64), "a": ab[:, 0], "b": ab[:, 1]})
 
 
-def _frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
-    return pd.DataFrame(np.array(pairs, np.int64).reshape(-1, 2), columns=["a", "b"])
+def links(classes: DataFrame, bits: int = BITS, most: int = MOST) -> DataFrame:
+    """``seed, a, b``: links that span, for each seed, the components of its distinct fingerprints (rows seed, fp, copies)."""
+    index = _index(classes, bits)
+    lists = index.groupBy("set", "bytes").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("copies", "fp"))["fp"].alias("pivot")).where(F.col("members") > most)
+    lists = materialize(lists.withColumn("weight", F.col("members")), "lists")
+    total = classes.count() * len(position_sets(bits))
+
+    def stream(batches):
+        rest = np.empty((0, 4), np.int64)
+        for pdf in batches:
+            rows = np.concatenate([rest, pdf[["set", "bytes", "seed", "fp"]].to_numpy(np.int64)])
+            last = int(np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(1)).max(initial=-1)) + 1 if len(rows) else 0
+            # of a list that may go on, no more is held than shows that it is too long for this way
+            rest = rows[last : last + most + 1]
+            yield _short_lists(rows[:last], bits, most)
+        yield _short_lists(rest, bits, most)
+
+    # lists of over a thousandth of the rows, fewer than a thousand, are not dealt to one task at all
+    hot = lists.where(F.col("members") * HOT_SHARE > total).select("set", "bytes")
+    flat = index.join(F.broadcast(hot), ["set", "bytes"], "left_anti").select("set", "bytes", "seed", "fp")
+    out = flat.repartition("set", "bytes").sortWithinPartitions("set", "bytes").mapInPandas(stream, _LINKS)
+    if lists.count():
+        large = materialize(join_by_weight(index.drop("copies"), lists, ["set", "bytes"], "weight", total), "large")
+        out = out.unionByName(_large_lists(large, bits, most))
+    return out.distinct()
 
 
 def _large_lists(large: DataFrame, bits: int, most: int) -> DataFrame:
-    """Links of lists (key, fp, members, pivot) that are too long for a task.
+    """Links of lists (set, bytes, seed, fp, members, pivot) that are too long for a task.
 
     Members near their list's pivot are linked with it, which connects them all. What is left are pairs of
     a near and a far member, and pairs of far members; both are compared block by block.
     """
+    key = ["set", "bytes"]
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= bits
     large = large.withColumn("near", near)
-    star = large.where("near and fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b"))
-    sizes = large.groupBy("key").agg(F.count_if("near").alias("n_near"), F.count_if(~F.col("near")).alias("n_far"), F.count(F.lit(1)).alias("weight")).where("n_far > 0")
+    star = large.where("near and fp <> pivot").select("seed", F.col("pivot").alias("a"), F.col("fp").alias("b"))
+    sizes = large.groupBy(*key).agg(F.count_if("near").alias("n_near"), F.count_if(~F.col("near")).alias("n_far"), F.count(F.lit(1)).alias("weight")).where("n_far > 0")
     sizes = materialize(sizes, "sizes")
     total = sizes.agg(F.sum("weight")).first()[0]
     if not total:
         return star
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / most)).cast("int")
-    rows = join_by_weight(large.drop("pivot", "members"), sizes, ["key"], "weight", total)
+    rows = join_by_weight(large.drop("pivot", "members"), sizes, key, "weight", total)
     rows = rows.withColumn("nb", blocks("n_near")).withColumn("fb", blocks("n_far")).withColumn("block", F.pmod(F.xxhash64("fp"), F.when(F.col("near"), F.col("nb")).otherwise(F.col("fb"))).cast("int"))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias("other")
-    mixed = rows.where("near").select("key", "fp", F.lit(0).alias("side"), F.col("block").alias("i"), upto("fb")).withColumnRenamed("other", "j").unionByName(
-        rows.where("not near").select("key", "fp", F.lit(1).alias("side"), F.col("block").alias("j"), upto("nb")).withColumnRenamed("other", "i")
+    own = [*key, "seed", "fp"]
+    mixed = rows.where("near").select(*own, F.lit(0).alias("side"), F.col("block").alias("i"), upto("fb")).withColumnRenamed("other", "j").unionByName(
+        rows.where("not near").select(*own, F.lit(1).alias("side"), F.col("block").alias("j"), upto("nb")).withColumnRenamed("other", "i")
     ).withColumn("kind", F.lit(0))
-    far = rows.where("not near").select("key", "fp", "block", upto("fb")).select(
-        "key", "fp", (F.col("block") > F.col("other")).cast("int").alias("side"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.lit(1).alias("kind")
+    far = rows.where("not near").select(*own, "block", upto("fb")).select(
+        *own, (F.col("block") > F.col("other")).cast("int").alias("side"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.lit(1).alias("kind")
     )
 
     def between(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (np.unique(pdf.fp[pdf.side == s].to_numpy(np.int64)) for s in (0, 1))
         if pdf.kind.iloc[0] and pdf.i.iloc[0] == pdf.j.iloc[0]:
-            return _frame(forest(a, bits))
-        return _frame(bridges(a, b, bits))
+            return _frame(forest(a, bits), int(pdf.seed.iloc[0]))
+        return _frame(bridges(a, b, bits), int(pdf.seed.iloc[0]))
 
-    return star.unionByName(mixed.unionByName(far).groupBy("key", "kind", "i", "j").applyInPandas(between, _LINKS))
+    return star.unionByName(mixed.unionByName(far).groupBy(*key, "kind", "i", "j").applyInPandas(between, _LINKS))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -226,17 +258,15 @@ def classes_of(rows: DataFrame, bits: int = BITS) -> DataFrame:
     first = rows.groupBy("fps").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     width = rows.select(F.max(F.size("fps"))).first()[0] or 0
     # of one seed the fingerprint is its own node, of several a hash of class or (seed, fingerprint)
-    node = (lambda i, c: F.col(c)) if width == 1 else (lambda i, c: F.xxhash64(F.lit(i), F.lit("fp"), F.col(c)))
+    node = F.col if width == 1 else (lambda c: F.xxhash64("seed", F.lit("fp"), F.col(c)))
     first = materialize(first.withColumn("class", F.col("fps")[0] if width == 1 else F.xxhash64("fps")), "classes")
-    found = None
-    for i in range(width):
-        own = first.select("class", "copies", F.col("fps")[i].alias("fp"))
-        pairs = links(own.groupBy("fp").agg(F.sum("copies").alias("copies")), bits).select(node(i, "a").alias("a"), node(i, "b").alias("b"))
-        if width > 1:
-            pairs = pairs.unionByName(own.select(F.col("class").alias("a"), node(i, "fp").alias("b")))
-        found = pairs if found is None else found.unionByName(pairs)
-    if found is None:
+    if not width:
         return first.select("fps", F.col("first").alias("component_id"), F.col("copies").alias("n"))
+    each = first.select("class", "copies", F.posexplode("fps").alias("seed", "fp"))
+    distinct = materialize(each.groupBy("seed", "fp").agg(F.sum("copies").alias("copies")), "fingerprints")
+    found = links(distinct, bits).select(node("a").alias("a"), node("b").alias("b"))
+    if width > 1:
+        found = found.unionByName(each.select(F.col("class").alias("a"), node("fp").alias("b")))
     roots = components(found).withColumnRenamed("node", "class")
     named = materialize(first.join(roots, "class", "left").select("fps", "first", "copies", F.coalesce("root", "class").alias("root")), "named")
     ids = materialize(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("w")), "ids")
