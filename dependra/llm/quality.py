@@ -115,25 +115,25 @@ def _encode(batches):
 
     for b in batches:
         x = [features(t or "") for t in b.column("text").to_pylist()]
-        at = [np.nonzero(v)[0].astype(np.int32) for v in x]
+        at = [np.nonzero(v)[0].astype("<i4") for v in x]
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("y"), pa.array(at, pa.list_(pa.int32())), pa.array([v[i] for v, i in zip(x, at)], pa.list_(pa.float32()))], ["doc_id", "y", "at", "value"]
+            [b.column("doc_id"), b.column("y"), pa.array([i.tobytes() for i in at], pa.binary()), pa.array([v[i].astype("<f4").tobytes() for v, i in zip(x, at)], pa.binary())], ["doc_id", "y", "at", "value"]
         )
 
 
 def fit(sample: DataFrame) -> QualityModel:
     """Learn from ``doc_id, text, y`` rows, which are a bounded sample: only their sparse features reach the driver."""
     prepare(sample.sparkSession)
-    rows = sample.select("doc_id", "text", "y").mapInArrow(_encode, "doc_id long, y int, at array<int>, value array<float>").collect()
+    rows = sample.select("doc_id", "text", "y").mapInArrow(_encode, "doc_id long, y int, at binary, value binary").collect()
     rows = sorted((r for r in rows if r["at"]), key=lambda r: (r.doc_id, r.y))
     if len(rows) < 2:
         return QualityModel(None, None, None, None, 1.0 if not rows else float(rows[0].y))
     x = np.zeros((len(rows), WIDTH), np.float32)
     for i, r in enumerate(rows):
-        x[i, r["at"]] = r["value"]
+        x[i, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["value"], "<f4")
     y = np.array([r.y for r in rows], np.float64)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
-    weighted = x * idf
+    weighted = x * idf  # SAMPLE x WIDTH floats: 32 MB
     weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-12)
     _, vec = np.linalg.eigh(weighted.T @ weighted)
     basis = np.ascontiguousarray(vec[:, ::-1][:, : min(RANK, len(rows))]).astype(np.float32)
