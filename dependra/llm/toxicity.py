@@ -1,12 +1,12 @@
 """Toxicity by maximum-scoring segments.
 
-Every token gets a log-odds score, toxic against other text. The counts carry Dirichlet priors that back
-off from the word to its first six, five and four characters, so inflected or unseen forms of a known
+Every token gets a log-odds score, toxic against other text. The class counts carry Dirichlet priors that
+back off from the word to its first six, five and four characters, so inflected or unseen forms of a known
 stem are scored by the stem. A linear scan finds all maximal-scoring segments of a text (disjoint, each of
 positive score, none extendable). Under ordinary text the best score of a text of n tokens follows an
-extreme-value law with parameters lambda and K, fitted on the training texts that are not toxic; a
-segment's normalised score is ``lambda * S - ln(K * n)`` and its E-value ``exp`` of minus that. The
-significant segments of a text are aggregated and a logistic curve maps them to 0..1.
+extreme-value law with parameters lambda and K, fitted on training texts that are not toxic, with tables
+that have not seen them; a segment's normalised score is ``lambda * S - ln(K * n)`` and its E-value ``exp``
+of minus that. The significant segments of a text are summed and a logistic curve maps the sum to 0..1.
 
 Edge cases: a null or empty text has no segment and gets the score of a text without evidence; nulls,
 repeated rows and other columns pass through; with no usable labels every score is the neutral prior.
@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ._common import fold_of, labelled_sample, prepare, table
 
 LEVELS = (0, 6, 5, 4)  #: whole word, then prefixes
-PRIOR = (2.0, 2.0, 4.0, 8.0)  #: Dirichlet mass that each level takes from the next coarser one
-VOCABULARY = 200_000  #: most table entries of a model (a short string and a number each), the strongest first: its proven size bound
+PRIOR = 10.0  #: documents that a level's class shares count beside those of the next finer level
+VOCABULARY = 60_000  #: most table entries of a model (a short string and a number each), the strongest first: its proven size bound
 LEAST = 3  #: documents that a table entry needs
-CAUTION = 1.0  #: standard deviations taken off a token's positive log-odds
-DRIFT = 0.75  #: taken off every token, so that ordinary text scores below zero
+DRIFT = 1.0  #: taken off every token, so that ordinary text scores below zero
+FOLDS = 4  #: parts of the sample; law and curve are fitted on texts that the table in use has not seen
 SAMPLE = 20_000  #: most labelled rows that are learned from
 CACHE = 300_000
 _EDGE = string.punctuation + "«»“”„‘’…–—¡¿"
@@ -42,11 +42,11 @@ def parts(word: str):
 
 
 def document_parts(batches):
-    """Of (text, y) batches: a row (level, part, y, n) for each table entry and class met, with its number of documents."""
+    """Of (text, y) batches: a row (level, part, y, n) for each table entry and class y met, with its number of documents."""
     import pyarrow as pa
 
     for b in batches:
-        counts: list[dict[tuple[int, str], int]] = [{}, {}]
+        counts: list[dict[tuple[int, str], int]] = [{} for _ in range(2 * FOLDS)]
         for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
             words = {w for t in set((text or "").lower().split()) if (w := t.strip(_EDGE))}
             own = counts[y]
@@ -149,25 +149,21 @@ class ToxicityModel:
 
 
 def log_odds(table: dict[tuple[int, str], tuple[float, float]], n0: float, n1: float) -> dict[int, dict[str, float]]:
-    """Cautious log-odds of each entry (level, part) with (documents of class 0, of class 1), coarse levels as priors of fine ones."""
+    """Log-odds of each entry (level, part) with (documents of class 0, of class 1) against the base rate.
+
+    The class shares of an entry have a Dirichlet prior of mass ``PRIOR`` around those of the next coarser entry.
+    """
+    base = n1 / (n0 + n1)
     out: dict[int, dict[str, float]] = {n: {} for n in LEVELS}
     for level, part in table:
-        r0 = r1 = 1.0 / (n0 + n1)
-        c0 = c1 = 0.0
-        for n, mass in zip(reversed(LEVELS), reversed(PRIOR)):
+        q = base
+        for n in reversed(LEVELS):
             if n and (len(part) < n or len(part) == n and level != n) or not n and level:
                 continue
             counts = table.get((n, part[:n] if n else part))
-            if counts is None:
-                continue
-            c0, c1 = counts
-            # the coarser level's ratio, at the scale of this level's own rate
-            scale = (c0 + c1) / (n0 + n1) / (r0 + r1) * 2
-            r0, r1 = (c0 + mass * min(1.0, r0 * scale)) / (n0 + mass), (c1 + mass * min(1.0, r1 * scale)) / (n1 + mass)
-            r0, r1 = max(r0, 0.05 / n0), max(r1, 0.05 / n1)
-        odds = math.log(r1 / r0)
-        if odds > 0:
-            odds = max(0.0, odds - CAUTION * math.sqrt(1 / (c0 + 1) + 1 / (c1 + 1)))
+            if counts is not None:
+                q = (counts[1] + PRIOR * q) / (counts[0] + counts[1] + PRIOR)
+        odds = math.log(q / (1.0 - q)) - math.log(base / (1.0 - base))
         out[level][part] = min(8.0, max(-1.0, odds)) - DRIFT
     return out
 
@@ -207,23 +203,25 @@ def fit_law(model: ToxicityModel, evidence: list[tuple[int, float, float]], toke
     model.log_k = float(v.mean() - 0.5772156649) if len(v) else 0.0
 
 
-def _observe(model_cast, batches):
-    """Of (text, y) batches: y, tokens, best raw score, all maximal scores, and a few ordinary token scores."""
+def _observe(casts, batches):
+    """Of (text, y, fold) batches: y, tokens and packed maximal scores under the fold's model, best first; with the
+    batch's last row a histogram of ordinary token scores."""
     import pyarrow as pa
 
-    model = model_cast.value
+    models = casts.value
     for b in batches:
-        ys, ns, raws, hist = [], [], [], []
-        for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
-            s = model.scores_of(text or "")
-            seg = sorted((x for _, _, x in maximal_segments(s)), reverse=True) if s else []
-            ys.append(y)
+        ys, ns, raws, hist = b.column("y").to_pylist(), [], [], np.zeros(len(_MIDS), np.int64)
+        for text, y, fold in zip(b.column("text").to_pylist(), ys, b.column("fold").to_pylist()):
+            s = models[fold].scores_of(text or "")
             ns.append(len(s))
-            raws.append(seg)
-            hist.append(np.histogram(s, _EDGES)[0].tolist() if not y else [0] * (len(_EDGES) - 1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ys, pa.int32()), pa.array(ns, pa.int64()), pa.array(raws, pa.list_(pa.float64())), pa.array(hist, pa.list_(pa.int64()))], ["y", "n", "raw", "hist"]
-        )
+            raws.append(np.sort([x for _, _, x in maximal_segments(s)])[::-1].astype("<f8").tobytes())
+            if not y:
+                hist += np.histogram(s, _EDGES)[0]
+        if ys:
+            last = [None] * (len(ys) - 1) + [hist.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ys, pa.int32()), pa.array(ns, pa.int64()), pa.array(raws, pa.binary()), pa.array(last, pa.list_(pa.int64()))], ["y", "n", "raw", "hist"]
+            )
 
 
 _EDGES = np.linspace(-1.1005, 8.0005, 181)
@@ -231,36 +229,48 @@ _MIDS = (_EDGES[1:] + _EDGES[:-1]) / 2
 
 
 def fit(sample: DataFrame) -> ToxicityModel:
-    """Learn from ``text, y`` rows, which are a bounded sample. Counts are summed on the executors."""
+    """Learn from ``doc_id, text, y`` rows, which are a bounded sample. Counts are summed on the executors."""
     spark = sample.sparkSession
     prepare(spark)
-    totals = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = sample.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
+    totals = np.zeros((2, FOLDS))
+    for r in sample.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect():
+        totals[r.y, r.fold] = r.n
     model = ToxicityModel()
-    if len(totals) < 2:
+    if not (totals.sum(1) > 0).all():
         return model
-    n0, n1 = float(totals[0]), float(totals[1])
-    counts = sample.select("text", "y").mapInArrow(document_parts, "level int, part string, y int, n long")
-    c0, c1 = F.col("c0"), F.col("c1")
-    z = F.log((c1 + 0.5) / n1) - F.log((c0 + 0.5) / n0)
+    counts = sample.select("text", (F.col("y") + 2 * F.col("fold")).cast("int").alias("y")).mapInArrow(document_parts, "level int, part string, y int, n long")
+    each = [f"c{k}" for k in range(2 * FOLDS)]
+    n0, n1 = totals.sum(1)
+    c0, c1 = (sum(F.col(f"c{k + 2 * f}") for f in range(FOLDS)) for k in (0, 1))
+    z = F.log((c1 + 0.5) / float(n1)) - F.log((c0 + 0.5) / float(n0))
     strongest = (
-        counts.groupBy("level", "part").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c0"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("c1"))
+        counts.groupBy("level", "part").agg(*[F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(each)])
         .where(c0 + c1 >= LEAST)
-        .select("level", "part", "c0", "c1", (z * z / (1 / (c1 + 0.5) + 1 / (c0 + 0.5))).alias("z2"))
+        .select("level", "part", *each, (z * z / (1 / (c1 + 0.5) + 1 / (c0 + 0.5))).alias("z2"))
         .orderBy(F.desc("z2"), "level", "part").limit(VOCABULARY).toPandas()
     )
-    model.odds = log_odds({(lv, p): (a, b) for lv, p, a, b in zip(strongest.level, strongest.part, strongest.c0, strongest.c1)}, n0, n1)
-    cast = spark.sparkContext.broadcast(model)
-    seen = sample.select("text", "y").mapInArrow(lambda it: _observe(cast, it), "y int, n long, raw array<double>, hist array<long>").collect()
-    hist = np.sum([r.hist for r in seen], axis=0) if seen else np.zeros(len(_MIDS))
-    tokens = np.repeat(_MIDS, np.minimum(10**6, np.ceil(hist / max(1, hist.sum() / 10**6))).astype(int))
-    fit_law(model, [(r.n, r.raw[0] if r.raw else 0.0, r.y) for r in seen], tokens)
-    x, y = [], []
-    for r in seen:
-        base = model.log_k + math.log(r.n) if r.n else 0.0
-        v = [model.lam * s - base for s in r.raw]
-        x.append(math.log1p(sum(s for s in v if s > model.significant)))
-        y.append(r.y)
-    model.curve = _logistic(np.array(x), np.array(y, float))
+    entries = list(zip(strongest.level.tolist(), strongest.part.tolist()))
+    grid = strongest[each].to_numpy(float).reshape(len(entries), FOLDS, 2)
+
+    def table(seen: list[int]) -> dict[int, dict[str, float]]:
+        sums = grid[:, seen].sum(1)
+        n = totals[:, seen].sum(1) + 0.5
+        return log_odds({e: (a, b) for e, (a, b) in zip(entries, sums.tolist()) if a + b > 0}, n[0], n[1])
+
+    model.odds = table(list(range(FOLDS)))
+    apart = [ToxicityModel(table([k for k in range(FOLDS) if k != f])) for f in range(FOLDS)]
+    cast = spark.sparkContext.broadcast(apart)
+    seen = sample.select("text", "y", "fold").mapInArrow(lambda it: _observe(cast, it), "y int, n long, raw binary, hist array<long>").collect()
+    hist = np.sum([r.hist for r in seen if r.hist], axis=0)
+    seen = [(r.y, r.n, np.frombuffer(r.raw, "<f8")) for r in seen]
+    tokens = np.repeat(_MIDS, np.ceil(hist / max(1, np.sum(hist) / 10**5)).astype(int)) if np.sum(hist) else np.zeros(0)
+    fit_law(model, [(n, float(raw[0]) if len(raw) else 0.0, y) for y, n, raw in seen], tokens)
+    x = []
+    for _, n, raw in seen:
+        v = model.lam * raw - (model.log_k + math.log(n) if n else 0.0)
+        x.append(math.log1p(float(v[v > model.significant].sum())))
+    model.curve = _logistic(np.array(x), np.array([float(y) for y, _, _ in seen]))
     cast.unpersist()
     return model
 
