@@ -5,7 +5,8 @@ Classifiers learn from ``labels`` and from the stage's own input texts. All stag
 columns of ``documents``. Near duplicates here are texts whose 64-bit fingerprints over five-word shingles,
 under any of four seeds, differ in at most six bits, which estimates a similarity of at least 0.95; of a
 component the row of the smallest id stays (of repeated ids one row). Rows without an id are in no
-component's lead and stay only if no row of their component has one.
+component's lead and stay only if no row of their component has one. The near-duplicate stage numbers rows
+and so takes its ``docs`` straight from files, as every stage's predecessor leaves them.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, **NEAR)
+    return simhash.keep_one(docs, **NEAR, stored=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -282,13 +282,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seeds: Sequence[int] =
     return join_by_weight(rows, classes, ["fps"], "n", rows.count())
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, seeds: Sequence[int] = (SEED,), bits: int = BITS) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, seeds: Sequence[int] = (SEED,), bits: int = BITS, stored: bool = False) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, of rows that repeat it the first.
 
-    Only fingerprints and ids are exchanged; the kept rows are then read by their row number.
+    Only fingerprints and ids are exchanged; the kept rows are then taken by their row number. ``stored``
+    says that ``docs`` is read straight from files, where row numbers are the same at each reading; anything
+    else is written first.
     """
     prepare(docs.sparkSession)
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    if not stored:
+        numbered = materialize(numbered, "numbered")
     rows = materialize(fingerprints(numbered.select("__row", F.col("doc_id").cast("long").alias("doc_id"), "text"), words=words, seeds=seeds, column="fps").select("__row", "doc_id", "fps"), "fps")
     classes = materialize(classes_of(rows, bits), "components")
     met = join_by_weight(rows, classes, ["fps"], "n", rows.count())
