@@ -54,19 +54,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(*frames: DataFrame) -> None:
-    """Delete the files of materialized frames that no later plan reads."""
-    for df in frames:
-        spark = df.sparkSession
-        root = shared_dir(spark).split(":")[-1]
-        jvm = spark._jvm
-        conf = spark._jsparkSession.sessionState().newHadoopConf()
-        for d in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if root in d and "/dependra-" in d:
-                p = jvm.org.apache.hadoop.fs.Path(d)
-                p.getFileSystem(conf).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
