@@ -118,16 +118,18 @@ def forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
 
 def bridges(a: np.ndarray, b: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links between two blocks: for each member of ``a`` its first partner and those that no earlier member reached."""
-    out, reached = [], np.zeros(len(b), bool)
-    for x in a:
-        hit = _near(x, b, bits)
-        new = hit & ~reached
-        if new.any():
-            out.extend((int(x), int(y)) for y in b[new])
-            reached |= new
-        elif hit.any():
-            out.append((int(x), int(b[int(hit.argmax())])))
+    """Links between two blocks that connect what their mutual links connect, fewer than members: a search across both from each part."""
+    left, out = [np.unique(a), np.unique(b)], []
+    while len(left[0]) and len(left[1]):
+        frontier, left[0] = [(0, left[0][0])], left[0][1:]
+        while frontier:
+            side, x = frontier.pop()
+            others = left[1 - side]
+            hit = _near(x, others, bits)
+            if hit.any():
+                left[1 - side] = others[~hit]
+                out.extend((int(y), int(x)) if side else (int(x), int(y)) for y in others[hit])
+                frontier.extend((1 - side, y) for y in others[hit])
     return out
 
 
