@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and applies one operator.
 Classifiers learn from ``labels`` and from the stage's own input texts. All stages but the last return the
-columns of ``documents``. Near duplicates here are texts whose 64-bit fingerprints over five-word shingles,
-under any of four seeds, differ in at most six bits, which estimates a similarity of at least 0.95; of a
+columns of ``documents``. Near duplicates here are texts whose sets of five-word shingles have a similarity
+(Jaccard) of at least 0.8, computed from the whole sets; 64-bit fingerprints under four seeds at most six bits
+apart, and bands of min-hashes, only find the candidates. Of a
 component the row of the smallest id stays (of repeated ids one row). Rows without an id are in no
 component's lead and stay only if no row of their component has one. The near-duplicate stage numbers rows
 and so takes its ``docs`` straight from files, as every stage's predecessor leaves them.
@@ -13,10 +14,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dependra.llm import line_dedup, packing, quality, simhash, toxicity
+from dependra.llm import line_dedup, near_copies, packing, quality, toxicity
 from dependra.llm._common import materialize, table
 
-NEAR = {"words": 5, "seeds": (42, 43, 44, 45), "bits": 6}
+NEAR = {"words": 5, "seeds": (42, 43, 44, 45), "bits": 6}  #: of the search for candidates
+SIMILARITY = 0.8
 COPY_SHARE = 0.5  #: a text that would lose more is a copy, which the near-duplicate stage judges
 
 
@@ -36,7 +38,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, **NEAR, stored=True)
+    return near_copies.keep_one(docs, **NEAR, similarity=SIMILARITY, stored=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
