@@ -19,7 +19,7 @@ from dependra.llm._common import materialize, table
 
 NEAR = {"words": 5, "seeds": (42, 43, 44, 45), "bits": 6}  #: of the search for candidates
 SIMILARITY = 0.8
-COPY_SHARE = 0.5  #: a text that would lose more is a copy, which the near-duplicate stage judges
+COPY_SHARE = 1.0  #: share of its characters that a text may lose to line deduplication: all, copies too
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
