@@ -142,6 +142,35 @@ def bootstrap(spark, copula: Copula, u: np.ndarray, v: np.ndarray, replications:
     return boots.agg(F.lit(observed).alias("statistic"), ((1.0 + F.count_if(F.col("boot") >= observed)) / (F.count(F.lit(1)) + 1.0)).alias("p_value"))
 
 
+def bootstrap_groups(df: DataFrame, copula: Copula, u: str, v: str, by: Sequence[str], order: Sequence[str], replications: int, seed: int = 0) -> DataFrame:
+    """``by, statistic, p_value, n`` of each group as :func:`bootstrap` gives them: a task fits one group, replications need its parameter and size alone."""
+    keys = [f for f in df.schema if f.name in by]
+    names = [f.name for f in keys]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys)
+
+    def observe(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order), kind="stable")
+        statistic, r = _pair_statistic(copula, pdf[u].to_numpy(float), pdf[v].to_numpy(float))
+        return pdf[names].head(1).assign(statistic=float(statistic), r=float(r), n=len(pdf))
+
+    def run(batches):
+        for pdf in batches:
+            boot = []
+            for k, n, r in zip(pdf.k, pdf.n, pdf.r):
+                rng = np.random.default_rng(np.random.SeedSequence([seed, int(k)]))
+                w = rng.uniform(size=(2, n))
+                a = copula.h_inv(num, w[1], w[0], r)
+                ranks = lambda x: (np.argsort(np.argsort(x)) + 1.0) / (n + 1.0)
+                boot.append(_pair_statistic(copula, ranks(a), ranks(w[0]))[0])
+            yield pdf[[*names, "statistic", "n"]].assign(boot=boot)
+
+    seen = df.select(*names, *order, u, v).groupBy(*names).applyInPandas(observe, f"{fields}, statistic double, r double, n long")
+    each = seen.select("*", F.explode(F.sequence(F.lit(0), F.lit(replications - 1))).alias("k")).repartition(*names, "k")
+    boots = each.mapInPandas(run, f"{fields}, statistic double, n long, boot double")
+    p_value = (1.0 + F.count_if(F.col("boot") >= F.col("statistic"))) / (F.count(F.lit(1)) + 1.0)
+    return boots.groupBy(*names, "statistic", "n").agg(p_value.alias("p_value")).select(*names, "statistic", "p_value", "n")
+
+
 def gof_test(df: DataFrame, copula: Copula, u: str, v: str, by: Sequence[str], order: Sequence[str], method: str = "mle", to_pobs: bool = True) -> DataFrame:
     """``by, statistic, p_value, n`` of each group: fit, transform at the predictive state, test."""
     from . import latent

@@ -216,14 +216,7 @@ add("rosenblatt_student", lambda spark, d: gof.rosenblatt_student(line3(spark, d
 add("student3_logpdf", lambda spark, d: mv.student_rows(line3(spark, d), ["u0", "u1", "u2"], _CORR, 6.0).groupBy("l_returnflag").agg(r6(F.sum("log_pdf"), 3).alias("ll")))
 
 
-def _bootstrap(spark, d) -> DataFrame:
-    rows = _part_pobs(spark, d).where("p_brand = 'Brand#11'").orderBy("p_partkey").select("u", "v").toPandas()
-    if not len(rows):
-        rows = _part_pobs(spark, d).groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "u", "v"))).alias("x")).orderBy("p_brand").limit(1).select(F.inline("x")).select("u", "v").toPandas()
-    return gof.bootstrap(spark, Copula("frank"), rows.u.to_numpy(), rows.v.to_numpy(), 39, 5)
-
-
-add("gof_bootstrap", _bootstrap)
+add("gof_bootstrap", lambda spark, d: gof.bootstrap_groups(_part_pobs(spark, d), Copula("frank"), "u", "v", ["p_brand"], ["p_partkey"], 39, 5))
 
 # estimators by group
 add("fit_mle_by_segment", lambda spark, d: fit.fit(segment_pobs(spark, d), Copula("frank"), "u", "v", ["c_mktsegment"], ["o_orderkey"], "mle").select("c_mktsegment", "family", r6(F.col("params")["r"], 3).alias("r"), r6(F.col("log_likelihood"), 3).alias("log_likelihood"), "n"))
@@ -234,7 +227,7 @@ add("gas_rows", lambda spark, d: rec.filter_groups(event_pobs(spark, d).select("
 
 
 def _mle_large(spark, d) -> DataFrame:
-    got = fit.fit_large(lineitem_pobs(spark, d).where("l_returnflag = 'A'"), Copula("frank"), "u", "v")
+    got = fit.fit_large(lineitem_pobs(spark, d), Copula("frank"), "u", "v")
     return spark.createDataFrame([(got["family"], round(got["params"]["r"], 4), round(got["log_likelihood"], 3), got["n"], got["success"])], "family string, r double, log_likelihood double, n long, success boolean")
 
 
