@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,14 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 _SHIPPED = "_dependra_llm_shipped"
+SAMPLE_PARTS = 24
+MAP_BYTES = 1 << 25  #: most bytes of bit maps of row numbers that are broadcast
+LONGEST_CACHED = 64  #: characters of a token that workers may keep in a cache, so that its size in bytes is bounded
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make this package importable on executors and make sure a checkpoint folder is known.
-
-    ``spark.checkpoint.dir`` of the session is used as it is; only where it is unset (tests, a laptop)
-    a temporary folder of this machine is taken.
-    """
+    """Make this package importable on executors: an archive that the driver serves."""
     sc = spark.sparkContext
     if getattr(sc, _SHIPPED, False):
         return
@@ -34,9 +34,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
+    """The folder that driver and executors share, as the session names it.
+
+    Where none is named, a session of one machine (tests, a laptop) takes a folder of its own; on a cluster
+    that is an error, since executors would write to disks that nobody else reads.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="dependra-checkpoints-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -73,7 +79,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
 
     ``keep`` says over ``doc_id`` which rows may be learned from. The sample is a hash order of ids, so it
     neither depends on partitions nor on row order. Ids with contradicting or null labels are left out.
-    Only (id, label) pairs of the bounded sample reach the driver. Returns ``doc_id, text, y``.
+    Of rows that repeat an id the one of the smallest text hash (ties: the smaller text) is taken, so rows are
+    bounded too. Only (id, label) pairs of the bounded sample reach the driver. Returns ``doc_id, text, y``, written
+    once: later passes read the sample and not the documents.
     """
     spark = docs.sparkSession
     pairs = (
@@ -89,10 +97,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         pairs = pairs.where(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * share))
     rows = sorted((r.h, r.doc_id, r.y) for r in pairs.select(order.alias("h"), "doc_id", "y").collect())[:bound]
     ids = spark.createDataFrame([(d, y) for _, d, y in rows] or [], "doc_id long, y int")
-    return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .join(F.broadcast(ids), "doc_id")
-    )
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    one = met.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.min("y").alias("y"))
+    # dealt over tasks by number, since a few texts may hold most of the sample's characters
+    return materialize(one.repartition(SAMPLE_PARTS, "doc_id"), "sample")
+
+
+def refuse_clash(df: DataFrame, new) -> None:
+    """An error where ``df`` has a column named like one that an operator adds (Spark ignores letter case)."""
+    have = {c.lower() for c in df.columns}
+    if clash := sorted(c for c in new if c.lower() in have):
+        raise ValueError(f"columns named {clash} are there already; rename them first")
+
+
+def rows_in(stored: DataFrame, chosen: DataFrame, row: str = "__row", both: bool = False):
+    """The rows of ``stored`` whose number ``row`` is in ``chosen``, without an exchange of ``stored``; with ``both`` the others too.
+
+    The chosen numbers become bit maps of 2**15 positions, one bit a row where numbers follow one another.
+    Up to ``MAP_BYTES`` of them are broadcast and each row is tested in place; more go by exchange.
+    """
+    maps = materialize(chosen.groupBy(bitmap_word(F.col(row)).alias("__word")).agg(bitmap_of(F.col(row)).alias("__map")), "rows")
+    if maps.count() * 4096 > MAP_BYTES:
+        numbers = chosen.select(row).distinct().hint("shuffle_hash")
+        inside, others = stored.join(numbers, row, "left_semi"), stored.join(numbers, row, "left_anti")
+    else:
+        met = stored.join(F.broadcast(maps), bitmap_word(F.col(row)) == F.col("__word"), "left")
+        hit = bit_is_set(F.col("__map"), F.col(row))
+        inside, others = met.where(hit).drop("__word", "__map"), met.where(~hit).drop("__word", "__map")
+    return (inside, others) if both else inside
 
 
 def bitmap_word(position: Column) -> Column:

@@ -2,8 +2,10 @@
 
 The similarity of two texts is the Jaccard coefficient of their sets of word shingles, taken as 64-bit
 hashes; words are those of :mod:`simhash`. Texts of equal sets are one class. Candidates are classes that
-the byte-position index of :mod:`simhash` links under any of its seeds, and classes that share a band of
-``ROWS`` min-hashes, of ``BANDS`` (a pair of similarity 0.8 shares none with a probability of 0.0004).
+the byte-position index of :mod:`simhash` links, and classes that share a band of ``ROWS`` min-hashes, of
+``BANDS``. Two sets of similarity 0.8 differ in some ten of 64 fingerprint bits: the index alone, which must
+ask for few bits to keep its posting lists short, finds about one in thirty of such pairs and nearly all from
+0.95 on. The bands find the rest: they miss a pair of similarity 0.8 with a probability of 0.0002.
 Within a connected group of candidates all pairs are compared by their whole sets; links below the given
 similarity are dropped. Groups of over ``MOST`` classes are first compared with one of their classes, and
 what this leaves to compare meets block by block; no class is dropped.
@@ -20,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import simhash
-from ._common import join_by_weight, materialize, prepare
+from ._common import join_by_weight, materialize, prepare, refuse_clash, rows_in
 
 SIMILARITY = 0.8
-BANDS = 20
+BANDS = 22
 ROWS = 5
 MOST = 512  #: classes of a group, or of a block of one, that one task compares
-CHUNK = 1 << 14
+CHUNK = 1 << 10  #: hashes at a time, so that their products stay in the processor's cache
 
 _rng = np.random.default_rng(1)
 _TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -35,14 +37,11 @@ _PLUS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles; a text without words has the one shingle of no words."""
-    tokens = (text or "").encode("utf-8", "replace").lower().split()
-    joined = b" ".join(tokens)
-    ends = np.cumsum([len(t) + 1 for t in tokens] or [1]) - 1
-    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])
-    n = max(1, len(tokens) - words + 1)
-    last = ends[words - 1 :] if len(tokens) >= words else ends[-1:]
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(joined[a:b]) for a, b in zip(starts[:n].tolist(), last.tolist())], np.uint64))
+    return _distinct(simhash.gram_hashes(text, words))
+
+
+def _distinct(each: np.ndarray) -> np.ndarray:
+    return np.unique(each) if len(each) else np.array([xxhash.xxh64_intdigest(b"", simhash.SEED)], np.uint64)
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -85,21 +84,26 @@ def _sets(column: pd.Series) -> list[np.ndarray]:
 
 
 def _candidates(classes: DataFrame, bits: int) -> DataFrame:
-    """``class, root`` of the classes (class, fps, bands, copies) that some candidate links with another."""
+    """``class, root`` of the classes (class, fp, bands, copies) that some candidate links with another."""
     index = materialize(classes.select("class", F.explode("bands").alias("band")), "bands")
     buckets = materialize(index.groupBy("band").agg(F.min("class").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     total = buckets.agg(F.sum("n")).first()[0] or 0
     star = join_by_weight(index, buckets, ["band"], "n", total).select(F.col("class").alias("a"), "b").where("a <> b")
-    each = classes.select("class", "copies", F.posexplode("fps").alias("seed", "fp"))
-    node = lambda c: F.xxhash64("seed", F.lit("fp"), F.col(c))
-    distinct = materialize(each.groupBy("seed", "fp").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"), F.min("class").alias("b")), "fingerprints")
-    found = simhash.links(distinct.select("seed", "fp", "copies"), bits)
-    # nodes of fingerprints that no other class or fingerprint meets stay out of the search
-    met = materialize(found.select(node("a").alias("a"), node("b").alias("b")), "met")
-    used = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
-    shared = distinct.where("n > 1").select(node("fp").alias("node"))
-    hold = each.select(F.col("class").alias("a"), node("fp").alias("b")).join(used.unionByName(shared).distinct().withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
-    roots = simhash.components(star.unionByName(met).unionByName(hold))
+    # a fingerprint stands for the smallest of its classes, and the others are linked with that
+    by_print = classes.groupBy("fp").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"), F.min("class").alias("b"))
+    by_print = materialize(by_print, "fingerprints")
+    same = join_by_weight(classes.select("class", "fp"), by_print.where("n > 1").select("fp", "n", "b"), ["fp"], "n", classes.count()).select(F.col("class").alias("a"), "b").where("a <> b")
+    met = materialize(simhash.links(by_print.select(F.lit(0).alias("seed"), "fp", "copies"), bits).select("a", "b"), "met")
+    links = met.count()
+
+    def named(edges: DataFrame, end: str) -> DataFrame:
+        """``edges`` with the class of a fingerprint in place of the fingerprint; some have very many links."""
+        degrees = edges.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
+        right = degrees.join(by_print.select(F.col("fp").alias(end), F.col("b").alias("class")), end)
+        return join_by_weight(edges, materialize(right, "ends"), [end], "n", links).drop(end).withColumnRenamed("class", end)
+
+    far = named(materialize(named(met, "a"), "met"), "b")
+    roots = simhash.components(star.unionByName(same).unionByName(far))
     return classes.select("class").join(roots.withColumnRenamed("node", "class"), "class")
 
 
@@ -154,39 +158,43 @@ def _links(pdf: pd.DataFrame, pairs) -> pd.DataFrame:
     return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1]})
 
 
-def keep_one(docs: DataFrame, words: int, seeds: Sequence[int], bits: int, similarity: float = SIMILARITY, stored: bool = False, most: int | None = None) -> DataFrame:
-    """``docs`` with one row of each component of texts of at least ``similarity``, as :func:`simhash.keep_one` takes it and with its ``stored``."""
+def keep_one(docs: DataFrame, words: int = 5, bits: int = simhash.BITS, similarity: float = SIMILARITY, most: int | None = None) -> DataFrame:
+    """``docs`` with one row of each component of texts of at least ``similarity``: that of the smallest id.
+
+    Of rows that repeat the smallest id the first stays; rows without an id stay only if their component has no
+    other. Null counts as empty, and texts without words equal each other. Rows are numbered in a table that is
+    written once, so each later reading sees the same numbers whatever the cluster does. Texts are not exchanged:
+    those of candidates alone are described, where they lie, by their shingle sets.
+    """
+    refuse_clash(docs, ["__row", "__near"])
     spark, most = docs.sparkSession, most or MOST
     prepare(spark)
-    seeds = tuple(seeds)
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    if not stored:
-        numbered = materialize(numbered, "numbered")
 
-    @F.pandas_udf("fps array<long>, bands array<long>, digest binary")
+    @F.pandas_udf("fp long, bands array<long>, digest binary")
     def describe(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            hashes = shingles(t, words)
-            fps = np.array([simhash.fingerprint(t, words, s) for s in seeds], np.uint64).view(np.int64)
-            out.append((fps, bands(hashes), hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()))
-        return pd.DataFrame(out, columns=["fps", "bands", "digest"])
+            each = simhash.gram_hashes(t, words)
+            own = _distinct(each)
+            out.append((int(simhash.majority(each).view(np.int64)), bands(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest()))
+        return pd.DataFrame(out, columns=["fp", "bands", "digest"])
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, words).tobytes() for t in texts], dtype=object)
 
-    rows = numbered.select("__row", F.col("doc_id").cast("long").alias("doc_id"), describe("text").alias("d")).select("__row", "doc_id", "d.*")
+    stored = materialize(docs.withColumn("__near", describe("text")).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    rows = stored.select("__row", F.col("doc_id").cast("long").alias("doc_id"), "__near.*")
     # a null id comes after all others
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best")
-    classes = rows.groupBy("digest").agg(F.min("__row").alias("class"), best, F.count(F.lit(1)).alias("copies"), F.any_value("fps").alias("fps"), F.any_value("bands").alias("bands"))
+    classes = rows.groupBy("digest").agg(F.min("__row").alias("class"), best, F.count(F.lit(1)).alias("copies"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
     classes = materialize(classes.drop("digest"), "classes")
     groups = materialize(_candidates(classes, bits), "candidates")
     sizes = materialize(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    members = join_by_weight(groups, sizes.select("root", F.col("n").alias("w"), "n"), ["root"], "w", total)
-    texts = numbered.select(F.col("__row").alias("class"), "text").join(members.hint("shuffle_hash"), "class")
-    members = materialize(texts.select("root", "n", "class", packed("text").alias("set")), "sets")
+    members = materialize(join_by_weight(groups, sizes.select("root", F.col("n").alias("w"), "n"), ["root"], "w", total), "members")
+    sets = rows_in(stored.select(F.col("__row").alias("class"), "text"), members.select("class"), "class").select("class", packed("text").alias("set"))
+    members = materialize(sets.join(members.hint("shuffle_hash"), "class").select("root", "n", "class", "set"), "sets")
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         return _links(pdf, forest(_sets(pdf["set"]), similarity))
@@ -197,4 +205,4 @@ def keep_one(docs: DataFrame, words: int, seeds: Sequence[int], bits: int, simil
         found = found.unionByName(_large_groups(large, similarity, most))
     roots = simhash.components(found).withColumnRenamed("node", "class")
     kept = classes.select("class", "best").join(roots, "class", "left").groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("best")["__row"].alias("__row")).select("__row")
-    return numbered.join(kept.hint("shuffle_hash"), "__row", "left_semi").drop("__row")
+    return rows_in(stored.select(*docs.columns, "__row"), kept).select(docs.columns)

@@ -31,7 +31,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import HOT_SHARE, join_by_weight, materialize, prepare, table
+from ._common import HOT_SHARE, join_by_weight, materialize, prepare, refuse_clash, rows_in, table
 
 WORDS = 4
 SEED = 42
@@ -39,28 +39,41 @@ BITS = 4
 MOST = 512  #: members of a posting list that one task takes
 TALLY = 24  #: members of a list whose pairs are all tallied
 CHUNK = 1 << 16
+SPREAD = 48  #: least number of files that the index is built from
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """The fingerprint of one whole text, as an unsigned integer."""
+def gram_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """The 64-bit hashes of a whole text's shingles in their order, none without words."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     n = max(1, len(tokens) - words + 1)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])
-    first, last = starts[:n].tolist(), (ends[words - 1 :] if len(tokens) >= words else ends[-1:]).tolist()
-    votes = np.zeros(64, np.int64)
+    last = ends[words - 1 :] if len(tokens) >= words else ends[-1:]
     h = xxhash.xxh64_intdigest
-    for s in range(0, n, CHUNK):
-        hashes = np.array([h(joined[a:b], seed) for a, b in zip(first[s : s + CHUNK], last[s : s + CHUNK])], ">u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
+    return np.concatenate([
+        np.array([h(joined[a:b], seed) for a, b in zip(starts[s : s + CHUNK][: n - s].tolist(), last[s : s + CHUNK].tolist())], np.uint64) for s in range(0, n, CHUNK)
+    ])
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """The fingerprint of one whole text, as an unsigned integer."""
+    return int(majority(gram_hashes(text, words, seed)))
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes."""
+    votes = np.zeros(64, np.int64)
+    for s in range(0, len(hashes), CHUNK):
+        votes += np.unpackbits(hashes[s : s + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(hashes)).view(">u8")[0].astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, seeds: Sequence[int] = (SEED,), column: str = "fp") -> DataFrame:
-    """``docs`` with ``column``, an array of one signed 64-bit fingerprint for each seed."""
+    """``docs`` with ``column``, an array of one signed 64-bit fingerprint for each seed; other columns pass through, one of that name is an error."""
+    refuse_clash(docs, [column])
     prepare(docs.sparkSession)
     seeds = tuple(seeds)
 
@@ -162,6 +175,9 @@ def _frame(pairs, seed: int) -> pd.DataFrame:
 
 def links(classes: DataFrame, bits: int = BITS, most: int = MOST) -> DataFrame:
     """``seed, a, b``: links that span, for each seed, the components of its distinct fingerprints (rows seed, fp, copies)."""
+    # few files would make few tasks of the index's many rows
+    parts = max(SPREAD, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    classes = materialize(classes.repartition(parts, "fp"), "spread")
     index = _index(classes, bits)
     lists = index.groupBy("set", "bytes").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("copies", "fp"))["fp"].alias("pivot")).where(F.col("members") > most)
     lists = materialize(lists.withColumn("weight", F.col("members")), "lists")
@@ -284,25 +300,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seeds: Sequence[int] =
     return join_by_weight(rows, classes, ["fps"], "n", rows.count())
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, seeds: Sequence[int] = (SEED,), bits: int = BITS, stored: bool = False) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, seeds: Sequence[int] = (SEED,), bits: int = BITS) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, of rows that repeat it the first.
 
-    Only fingerprints and ids are exchanged; the kept rows are then taken by their row number. ``stored``
-    says that ``docs`` is read straight from files, where row numbers are the same at each reading; anything
-    else is written first.
+    Rows are numbered in a table that is written once, so each later reading sees the same numbers whatever the
+    cluster does. Only fingerprints and ids are exchanged; the kept rows are taken by a bit map of their numbers.
     """
+    refuse_clash(docs, ["__row", "__fps"])
     prepare(docs.sparkSession)
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    if not stored:
-        numbered = materialize(numbered, "numbered")
-    rows = materialize(fingerprints(numbered.select("__row", F.col("doc_id").cast("long").alias("doc_id"), "text"), words=words, seeds=seeds, column="fps").select("__row", "doc_id", "fps"), "fps")
+    stored = materialize(fingerprints(docs, words=words, seeds=seeds, column="__fps").withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    rows = stored.select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.col("__fps").alias("fps"))
     classes = materialize(classes_of(rows, bits), "components")
     met = join_by_weight(rows, classes, ["fps"], "n", rows.count())
     # a null id comes after all others
     first = F.min_by("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
     by = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fps")).alias("fps"))
     kept = met.withColumn("by", by).groupBy("by").agg(first.alias("__row")).select("__row")
-    return numbered.join(kept.hint("shuffle_hash"), "__row", "left_semi").drop("__row")
+    return rows_in(stored, kept).select(docs.columns)
 
 
 def op4_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,23 @@ def test_candidates_reach_similarity_08():
         a, b = near_copies.bands(h[:162]), near_copies.bands(h[18:])  # 144 of 180
         met += bool((a == b).any())
     assert met >= 0.995 * n
+
+
+def test_rows_kept_do_not_depend_on_how_files_are_split(spark, tmp_path):
+    """Copies whose ids repeat, read by few and by many tasks."""
+    docs = [(i % 40, t, "en", "s", len(t)) for i, t in corpus(5, 20, 6)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(12).write.parquet(path)
+    want = None
+    for parallelism in ("1", "9"):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", parallelism)
+        try:
+            got = cp.near_duplicate_stage(spark, spark.read.parquet(path), "")
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", "5")  # the cluster changes before the result is read
+            kept = sorted((r.doc_id, r.text) for r in got.collect())
+        finally:
+            spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        want = want or [i for i, _ in kept]
+        assert [i for i, _ in kept] == want
+        sets = [grams(t) for _, t in kept]
+        assert all(len(a & b) < 0.8 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
