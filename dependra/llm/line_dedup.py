@@ -1,34 +1,40 @@
 """Line deduplication through a tree of log templates, with DataFrame functions alone.
 
 White space is made uniform and every token with a digit becomes a variable field. A line's way in the tree
-is its number of tokens and its first ``DEPTH`` tokens. In each leaf the line of most documents (ties: the
-smaller digest) is the leaf's template if at least ``MIN_DOCS`` documents hold it; lines of the leaf that
-agree with it in a share ``SIMILARITY`` of all positions belong to the same template, and the positions in
-which they differ are variable fields. Every other line is a template of its own. A template is recurring
-when its leading line stands in ``MIN_DOCS`` documents. Lines of recurring templates are dropped from every
-document but the first that holds the template (smallest id).
-
-Only digests, and of leaves with a template 15-bit token marks, are exchanged for this, counted per task first; templates that hold
-over a thousandth of all occurrences, fewer than a thousand, are joined by broadcast. Texts go through one
-exchange by document id with their own lists of dropped templates.
-
-Lines of fewer than ``MIN_TOKENS`` tokens stay. ``most`` leaves a document as it was if more than that share
-of its characters would go: such a text is a copy, which is for near-duplicate operators to judge. Null
-texts stay null, empty ones empty. Rows that share an id count as one document for "first", and lose the
-same templates; a null id is an id of its own, and comes last. Other columns pass through.
+is its number of tokens and its first ``DEPTH`` tokens. A leaf holds several templates: at each position it is
+counted how many (document, line) pairs of the leaf hold each token, and a line's template is made of its most
+frequent tokens, as few as cover a share ``SIMILARITY`` of its positions, ties included; its other positions
+are variable fields. Lines of one template thus agree in at least that share of all positions, and a field
+that differs from line to line stays out of it, whether or not one exact line repeats. A template is recurring
+when ``MIN_DOCS`` distinct documents hold lines of it, ``LONG_DOCS`` if its lines are longer than ``LONG``
+tokens. Lines of recurring templates are dropped from every document but the first that holds the template
+(smallest id).
+
+Texts are read once for their lines' digests and stored with a row number; leaves that too few lines share are
+set aside by a bit map. Tokens are taken, as 64-bit hashes, of one line of each kind in the other leaves alone. Keys
+that hold over a thousandth of all occurrences, fewer than a thousand, are joined by broadcast. Only texts that
+lose lines are exchanged, by row number.
+
+``copies`` leaves a document as it was if it is a copy of another one, which is for near-duplicate operators
+to judge: if what it would lose to one document alone makes up at least the share ``copies`` of the tokens of
+the two together. Lines of fewer than ``MIN_TOKENS`` tokens stay. Null texts stay null, empty ones empty. Rows
+that share an id count as one document, and lose the same templates; a null id is an id of its own, and comes
+last. Other columns pass through; those named like a new one are an error.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._common import bit_is_set, bitmap_of, bitmap_word, join_by_weight, materialize, table
+from ._common import bit_is_set, bitmap_of, bitmap_word, join_by_weight, materialize, refuse_clash, rows_in, table
 
 DEPTH = 3
 MIN_TOKENS = 3
 MIN_DOCS = 3
+LONG = 50  #: lines of more tokens are passages, which need fewer documents to be recurring
+LONG_DOCS = 2
 SIMILARITY = 0.75
-LEAF_BITS = 1 << 24  #: of the bit map of leaves that have a template: 2 MiB
+LEAF_BITS = 1 << 24  #: of the bit map of leaves that enough lines share: 2 MiB
 
 
 def templates(text: Column) -> Column:
@@ -48,77 +54,102 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
-def _id(doc_id: str) -> Column:
-    """A key that null has too."""
-    return F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit(""))
+def numbered_lines(docs: DataFrame, text: str, depth: int, min_tokens: int) -> DataFrame:
+    """``docs`` with ``__row`` and ``__lines`` (size, line, leaf; line is null where it is too short): the one pass over all texts."""
+    cut = F.transform(templates(F.col(text)), lambda line: F.struct(line.alias("line"), _tokens(line).alias("tokens")))
+    size = lambda x: F.when(x["line"] == "", 0).otherwise(F.size(x["tokens"]))
+    lines = F.transform(cut, lambda x: F.struct(
+        size(x).alias("size"), F.when(size(x) >= min_tokens, _digest(x["line"])).alias("line"), F.xxhash64(F.size(x["tokens"]), F.slice(x["tokens"], 1, depth)).alias("leaf")
+    ))
+    return materialize(docs.withColumn("__lines", lines).withColumn("__row", F.monotonically_increasing_id()), "numbered")
 
 
-def line_table(docs: DataFrame, doc_id: str, text: str, depth: int, min_tokens: int) -> DataFrame:
-    """``id, line, leaf, marks`` of the distinct templates of each document: the one pass over all texts."""
-    tokens = _tokens(F.col("line"))
-    return (
-        docs.select(F.col(doc_id).alias("id"), F.explode(F.array_distinct(templates(F.col(text)))).alias("line"))
-        .where(F.size(tokens) >= min_tokens)
-        .select(
-            "id", _digest(F.col("line")).alias("line"),
-            F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth)).alias("leaf"),
-            F.transform(tokens, lambda t: F.xxhash64(t).bitwiseAND(F.lit(0x7FFF)).cast("short")).alias("marks"),
-        )
-    )
-
+def _needed(size: Column, min_docs: int, long_docs: int) -> Column:
+    """Documents that make a template of lines of ``size`` tokens recurring."""
+    return F.when(size > LONG, min(long_docs, min_docs)).otherwise(min_docs)
 
-def recurring(lines: DataFrame, min_docs: int, similarity: float) -> DataFrame:
-    """``line`` (digest), ``first`` (id of the document that keeps it), ``n`` (documents) of all lines that recurring templates cover.
 
-    ``lines`` is a written :func:`line_table`. Its leaves without a template are set aside first, by a bit
-    map of ``LEAF_BITS`` bits; a leaf let through by a shared bit has no template, which the join finds.
-    """
-    often = lines.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+def _shared_leaves(stored: DataFrame, doc_id: str, min_docs: int, long_docs: int) -> DataFrame:
+    """``__row, id, pos, size, line, leaf`` of the lines in leaves of enough lines, and by a shared bit some more."""
+    each = stored.select("__row", F.col(doc_id).alias("id"), F.posexplode("__lines").alias("pos", "x")).select("__row", "id", "pos", "x.*").where("line is not null")
+    enough = each.groupBy("size", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= _needed(F.col("size"), min_docs, long_docs))
     position = F.col("leaf").bitwiseAND(F.lit(LEAF_BITS - 1))
-    flagged = often.groupBy(bitmap_word(position).alias("__word")).agg(bitmap_of(position).alias("__map"))
-    flagged = materialize(flagged, "leaves")  # at most LEAF_BITS / 2**15 rows of 4 KiB
-    some = lines.join(F.broadcast(flagged), bitmap_word(position) == F.col("__word")).where(bit_is_set(F.col("__map"), position)).drop("__word", "__map")
-    counted = materialize(some.groupBy("leaf", "line").agg(F.any_value("marks").alias("marks"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first")), "lines")
-    leaves = (
-        counted.groupBy("leaf").agg(
-            F.max_by(F.struct("line", "marks", "n"), F.struct("n", F.hex("line").alias("order"))).alias("top"), F.count(F.lit(1)).alias("__n")
-        )
-        .select("leaf", "__n", F.col("top.line").alias("template"), F.col("top.marks").alias("top_marks"), F.col("top.n").alias("top_n"))
-        .where(F.col("top_n") >= min_docs)
+    maps = materialize(enough.groupBy(bitmap_word(position).alias("__word")).agg(bitmap_of(position).alias("__map")), "leaves")  # at most LEAF_BITS / 2**15 rows of 4 KiB
+    met = each.join(F.broadcast(maps), bitmap_word(position) == F.col("__word")).where(bit_is_set(F.col("__map"), position))
+    return materialize(met.drop("__word", "__map"), "shared")
+
+
+def _templates_of(stored: DataFrame, text: str, lines: DataFrame, similarity: float) -> DataFrame:
+    """``line, template`` of the kinds of line (size, leaf, line, n, rep) of leaves that hold several."""
+    taken = rows_in(stored.select("__row", text), lines.select(F.col("rep.row").alias("__row")))
+    plain = taken.select("__row", F.posexplode(templates(F.col(text))).alias("pos", "plain"))
+    own = lines.select("leaf", "line", "n", F.col("rep.row").alias("__row"), F.col("rep.pos").alias("pos"))
+    tokens = own.join(plain, ["__row", "pos"]).select("leaf", "line", "n", F.posexplode(_tokens(F.col("plain"))).alias("at", "token"))
+    tokens = materialize(tokens.select("leaf", "line", "n", "at", F.xxhash64("token").alias("token")), "tokens")
+    # the count of a token that only one kind of line holds is that line's own
+    often = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("f"), F.count(F.lit(1)).alias("w")).where("w > 1")
+    often = materialize(often, "often")
+    met = join_by_weight(tokens, often, ["leaf", "at", "token"], "w", tokens.count(), "left")
+    each = met.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("at", "token", F.coalesce("f", "n").alias("f")))).alias("x"))
+    rank = F.ceil(F.size("x") * similarity - 1e-9).cast("int")
+    least = F.element_at(F.sort_array(F.col("x.f"), asc=False), rank)
+    kept = F.transform(F.filter("x", lambda x: x["f"] >= F.col("least")), lambda x: F.concat(x["at"], F.lit(":"), x["token"]))
+    return each.withColumn("least", least).select("line", _digest(F.concat_ws(",", F.col("leaf").cast("string"), F.array_join(kept, ","))).alias("template"))
+
+
+def dropped_lines(stored: DataFrame, doc_id: str, text: str, min_docs: int, long_docs: int, similarity: float, copies: float | None) -> DataFrame:
+    """``__row, __lost`` (places of lines) of the rows of a :func:`numbered_lines` table that lose lines."""
+    some = _shared_leaves(stored, doc_id, min_docs, long_docs)
+    kinds = (
+        some.groupBy("size", "leaf", "line", "id").agg(F.min(F.struct(F.col("__row").alias("row"), "pos")).alias("rep"), F.count(F.lit(1)).alias("rows"))
+        .groupBy("size", "leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"), F.sum("rows").alias("rows"))
     )
-    leaves = materialize(leaves, "leaves")
-    total = leaves.agg(F.sum("__n")).first()[0] or 0
-    met = join_by_weight(counted, leaves, ["leaf"], "__n", total)
-    agree = F.size(F.filter(F.zip_with("marks", "top_marks", lambda a, b: a == b), lambda same: same))
-    like = (F.size("marks") == F.size("top_marks")) & (agree >= F.size("marks") * similarity)
-    met = met.select("line", "n", "first", F.when(like, F.col("template")).otherwise(F.col("line")).alias("template"), like.alias("like")).where("like or n >= " + str(int(min_docs)))
-    met = materialize(met.drop("like"), "covered")
-    firsts = materialize(met.groupBy("template").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("__n")), "firsts")
-    total = firsts.agg(F.sum("__n")).first()[0] or 0
-    return join_by_weight(met.drop("first"), firsts, ["template"], "__n", total).select("line", "first", "n")
+    kinds = materialize(kinds, "kinds")
+    leaves = kinds.groupBy("size", "leaf").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("lines")).where(F.col("docs") >= _needed(F.col("size"), min_docs, long_docs))
+    leaves = materialize(leaves.drop("docs").withColumn("w", F.col("lines")), "leaves")
+    live = materialize(join_by_weight(kinds, leaves, ["size", "leaf"], "w", leaves.agg(F.sum("w")).first()[0] or 0), "live")
+    found = _templates_of(stored, text, live.where("lines > 1"), similarity).unionByName(live.where("lines = 1").select("line", F.col("line").alias("template")))
+    rows = live.agg(F.sum("rows")).first()[0] or 0
+    named = materialize(live.select("line", "rows").join(found, "line"), "templates")
+    held = materialize(join_by_weight(some.drop("leaf"), named, ["line"], "rows", rows), "held")
+    recurring = held.groupBy("template", "id").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("rows")).groupBy("template").agg(
+        F.max("size").alias("size"), F.count(F.lit(1)).alias("docs"), F.min("id").alias("first"), F.sum("rows").alias("rows")
+    ).where(F.col("docs") >= _needed(F.col("size"), min_docs, long_docs))
+    recurring = materialize(recurring.select("template", "first", "rows"), "recurring")
+    lost = join_by_weight(held.drop("line"), recurring, ["template"], "rows", rows).where(~F.col("id").eqNullSafe(F.col("first")))
+    by_first = lost.groupBy("__row", "first").agg(F.collect_list("pos").alias("lost"), F.sum("size").alias("shared"))
+    by_row = by_first.groupBy("__row").agg(F.flatten(F.collect_list("lost")).alias("__lost"), F.max(F.struct("shared", "first")).alias("best"))
+    by_row = materialize(by_row.select("__row", "__lost", "best.*"), "lost")
+    return by_row.select("__row", "__lost") if copies is None else _without_copies(stored, doc_id, by_row, copies)
+
+
+def _without_copies(stored: DataFrame, doc_id: str, by_row: DataFrame, copies: float) -> DataFrame:
+    """``by_row`` (with first and shared: the document to which most is lost, and how many tokens) without rows that are copies."""
+    sizes = stored.select("__row", F.col(doc_id).alias("first"), F.aggregate(F.col("__lines.size"), F.lit(0).cast("long"), lambda a, n: a + n).alias("size"))
+    leaders = by_row.where("first is not null").groupBy("first").agg(F.count(F.lit(1)).alias("w"))
+    leaders = materialize(sizes.groupBy("first").agg(F.max("size").alias("other")).join(leaders, "first"), "leaders")
+    rows = by_row.count()
+    met = join_by_weight(by_row.where("first is not null"), leaders, ["first"], "w", rows).join(sizes.select("__row", "size"), "__row")
+    return met.where(F.col("shared") < (F.col("size") + F.col("other") - F.col("shared")) * copies).select("__row", "__lost")
 
 
 def drop_recurring_lines(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS,
-    min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, most: float = 1.0, counts: bool = False,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS,
+    long_docs: int = LONG_DOCS, similarity: float = SIMILARITY, copies: float | None = None, counts: bool = False,
 ) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``; with ``counts`` also ``n_lines`` and ``n_dropped``."""
-    table_ = materialize(line_table(docs, doc_id, text, depth, min_tokens), "line-table")
-    covered = materialize(recurring(table_, min_docs, similarity), "recurring")
-    total = covered.agg(F.sum("n")).first()[0] or 0
-    held = table_.select(F.col("id").alias("__own"), "line")
-    lost = join_by_weight(held, covered, ["line"], "n", total).where(~F.col("__own").eqNullSafe(F.col("first")))
-    lost = lost.groupBy(_id("__own").alias("__id")).agg(F.collect_set("line").alias("__lost"))
-    met = docs.withColumn("__id", _id(doc_id)).join(lost.hint("shuffle_hash"), "__id", "left").drop("__id")
+    refuse_clash(docs, ["__row", "__lines", "__lost"] + (["n_lines", "n_dropped"] if counts else []))
+    stored = numbered_lines(docs, text, depth, min_tokens)
+    lost = materialize(dropped_lines(stored, doc_id, text, min_docs, long_docs, similarity, copies), "dropped")
+    some, rest = rows_in(stored.drop("__lines"), lost, both=True)
+    some = some.join(lost.hint("shuffle_hash"), "__row")
     lines = F.split(F.col(text), "\n")
-    kept = F.filter(F.arrays_zip(lines.alias("line"), templates(F.col(text)).alias("template")), lambda x: ~F.array_contains(F.col("__lost"), _digest(x["template"])))
-    met = met.withColumn("__kept", F.when(F.col("__lost").isNotNull(), F.transform(kept, lambda x: x["line"])))
-    new = F.array_join("__kept", "\n")
-    gone = F.col("__kept").isNotNull() & (F.length(new) >= F.length(text) * (1.0 - most))
-    if counts:
-        n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
-        met = met.withColumn("n_lines", n.cast("long")).withColumn("n_dropped", F.when(gone, F.size(lines) - F.size("__kept")).otherwise(0).cast("long"))
-    return met.withColumn(text, F.when(gone, new).otherwise(F.col(text))).drop("__lost", "__kept")
+    kept = F.filter(lines, lambda x, at: ~F.array_contains(F.col("__lost"), at))
+    new, n = [F.array_join(kept, "\n").alias(text)], F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
+    extra = [n, F.size("__lost").cast("long").alias("n_dropped")] if counts else []
+    others = [n, F.lit(0).cast("long").alias("n_dropped")] if counts else []
+    some = some.select(*[new[0] if c == text else F.col(c) for c in docs.columns], *extra)
+    return rest.select(*docs.columns, *others).unionByName(some)
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,18 +163,20 @@ WITH lines AS (
 masked AS (
   SELECT doc_id, raw, pos, trim(regexp_replace(regexp_replace(raw, '[ \t\r\f\x0B]+', ' ', 'g'), '[^ \n]*[0-9][^ \n]*', '<*>', 'g'), ' ') AS line FROM lines),
 counted AS (
-  SELECT line, string_split(line, ' ') AS tokens, count(DISTINCT doc_id) AS n, min(doc_id) AS first_doc FROM masked
+  SELECT line, string_split(line, ' ') AS tokens, len(string_split(line, ' ')) AS size, string_split(line, ' ')[1:{DEPTH}] AS lead, count(DISTINCT doc_id) AS n FROM masked
   WHERE len(string_split(line, ' ')) >= {MIN_TOKENS} GROUP BY line),
-leaf AS (SELECT *, len(tokens) AS size, tokens[1:{DEPTH}] AS lead FROM counted),
-top AS (
-  SELECT size, lead, max(n) AS top_n, arg_max(tokens, (n, md5(line))) AS top_tokens, arg_max(line, (n, md5(line))) AS template
-  FROM leaf GROUP BY size, lead HAVING max(n) >= {MIN_DOCS}),
-met AS (
-  SELECT line, n, first_doc,
-    len(list_filter(list_zip(tokens, top_tokens), lambda p: p[1] = p[2])) >= {SIMILARITY} * leaf.size AS alike, template
-  FROM leaf JOIN top USING (size, lead)),
-covered AS (SELECT line, first_doc, CASE WHEN alike THEN template ELSE line END AS template FROM met WHERE alike OR n >= {MIN_DOCS}),
-firsts AS (SELECT line, min(first_doc) OVER (PARTITION BY template) AS first_doc FROM covered),
+leaf AS (SELECT size, lead FROM counted GROUP BY size, lead HAVING sum(n) >= {LONG_DOCS}),
+token AS (
+  SELECT line, size, lead, n, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM counted JOIN leaf USING (size, lead)),
+often AS (SELECT line, size, lead, token, place, sum(n) OVER (PARTITION BY size, lead, place, token) AS f FROM token),
+rated AS (SELECT *, list(f) OVER (PARTITION BY line) AS fs FROM often),
+formed AS (
+  SELECT line, size, lead, string_agg(place || ':' || token, ' ' ORDER BY place) AS template
+  FROM rated WHERE f >= list_sort(fs, 'DESC')[CAST(ceil(size * {SIMILARITY} - 1e-9) AS BIGINT)] GROUP BY line, size, lead),
+recurring AS (
+  SELECT size, lead, template, min(doc_id) AS first_doc FROM masked JOIN formed USING (line) GROUP BY size, lead, template
+  HAVING count(DISTINCT doc_id) >= CASE WHEN size > {LONG} THEN {LONG_DOCS} ELSE {MIN_DOCS} END),
+firsts AS (SELECT line, first_doc FROM formed JOIN recurring USING (size, lead, template)),
 flagged AS (
   SELECT m.doc_id, m.raw, m.pos, coalesce(f.first_doc <> m.doc_id, false) AS gone FROM masked m LEFT JOIN firsts f USING (line))
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,

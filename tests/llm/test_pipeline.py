@@ -2,7 +2,8 @@ import pytest
 
 import corpus_pipeline as cp
 from dependra.llm import packing
-from test_text_operators import brute_lines, brute_simhash, check_packing
+from test_near_copies import brute_kept
+from test_text_operators import brute_lines, check_packing
 
 
 @pytest.fixture(scope="module")
@@ -33,29 +34,14 @@ def test_quality_keeps_the_clean(spark, stages):
 
 def test_lines(stages):
     before = [(r.doc_id, r.text) for r in stages["toxicity"].collect()]
-    full = brute_lines(before)
+    want = brute_lines(before, cp.COPIES)
     for r in stages["line_dedup"].collect():
-        old, new = dict(before)[r.doc_id], full[r.doc_id]
-        assert r.text == (new if len(new) >= len(old) * (1 - cp.COPY_SHARE) else old) and r.n_chars == len(r.text)
+        assert r.text == want[r.doc_id] and r.n_chars == len(r.text)
 
 
 def test_one_of_each_group_stays(stages):
-    docs = sorted((r.doc_id, r.text) for r in stages["line_dedup"].collect())
-    fps = [brute_simhash(docs, cp.NEAR["words"], s) for s in cp.NEAR["seeds"]]
-    parent = list(range(len(docs)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(docs)):
-        for b in range(a):
-            if any((f[a] ^ f[b]).bit_count() <= cp.NEAR["bits"] for f in fps):
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-    want = sorted(docs[i][0] for i in range(len(docs)) if root(i) == i)
-    assert sorted(r.doc_id for r in stages["near_duplicates"].collect()) == want
+    docs = [(r.doc_id, r.text) for r in stages["line_dedup"].collect()]
+    assert sorted(r.doc_id for r in stages["near_duplicates"].collect()) == brute_kept(docs)
 
 
 def test_packing_covers_what_is_left(stages):
