@@ -23,7 +23,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import prepare, table
+from ._common import LONGEST_CACHED, prepare, refuse_clash, table
 
 CACHE = 300_000  #: pieces that a worker remembers
 CHUNK = 1 << 21  #: characters of text whose pieces are held at once
@@ -181,10 +181,14 @@ class Codec:
             found = [self.pattern.findall(t) for t in texts[start:end]]
             if len(self.cache) > CACHE:
                 self.cache.clear()
-            self.learn(set(chain.from_iterable(found)).difference(self.cache))
+            new = set(chain.from_iterable(found)).difference(self.cache)
+            self.learn(new)
             get = self.cache.__getitem__
             for pieces in found:
                 yield list(chain.from_iterable(map(get, pieces)))
+            for piece in new:
+                if len(piece) > LONGEST_CACHED:
+                    del self.cache[piece]
             start = end
 
     def encode(self, text: str) -> list[int]:
@@ -230,9 +234,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, emit: Callable | None
         cast = spark.sparkContext.broadcast(f.read())
     if emit is None:
         emit, columns = _ids, [("ids", pa.list_(pa.int32()))]
-    clash = {n for n, _ in columns} & (set(docs.columns) - {text})
-    if clash:
-        raise ValueError(f"columns named {sorted(clash)} are there already; rename them first")
+    refuse_clash(docs.drop(text), [n for n, _ in columns])
     schema = StructType([f for f in docs.schema if f.name != text] + [StructField(n, from_arrow_type(t)) for n, t in columns])
     return docs.mapInArrow(lambda it: _each(it, cast, pattern, text, emit, columns), schema)
 
@@ -251,6 +253,7 @@ def _digests(c: Codec, ids: list[int]) -> tuple:
 
 def decode(rows: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
     """``rows`` with the bytes of their ids; a null list gives null."""
+    refuse_clash(rows, [column])
     prepare(rows.sparkSession)
     with open(ranks_path, "rb") as f:
         cast = rows.sparkSession.sparkContext.broadcast(f.read())

@@ -13,14 +13,14 @@ they are joined by broadcast, the others by exchange, so no task gets a hot grou
 Texts are equal when identical after lower-casing A-Z. Null counts as empty; empty texts equal each other.
 Of equal texts the row of the largest id stays; a null id is smaller than any other; of rows that repeat
 text and id, one stays (``kept``), chosen by the row order of the input files. An empty table gives no
-rows. Columns of the input pass through; those named like a new one must be renamed first.
+rows. Columns of the input pass through; those named like a new one are an error.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._common import bit_is_set, bitmap_of, bitmap_word, join_by_weight, lower_az, materialize, table
+from ._common import bit_is_set, bitmap_of, bitmap_word, join_by_weight, lower_az, materialize, refuse_clash, table
 
 HASHES = 2
 MOST_BITS = 1 << 28
@@ -46,9 +46,7 @@ def repeat_filter(digests: DataFrame, digest: str, bits: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """``docs`` (its text only if asked for) with ``keep_id, group_size, kept, text_sha256``."""
-    new = {"keep_id", "group_size", "kept", "text_sha256"}
-    if clash := new & set(docs.columns):
-        raise ValueError(f"columns named {sorted(clash)} are there already; rename them first")
+    refuse_clash(docs, ["keep_id", "group_size", "kept", "text_sha256", "__row", "__hit"])
     rows = docs.withColumn("text_sha256", F.sha2(lower_az(F.col(text)).cast("binary"), 256))
     if not keep_text:
         rows = rows.drop(text)

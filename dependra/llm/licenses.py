@@ -7,7 +7,8 @@ pigeonhole principle one of them stands unchanged in every match. Each place of
 which the ``regex`` library's bounded-error matching verifies the edits; hits start and end at word bounds.
 
 Edge cases: null counts as empty, which has no words, no places, empty label lists, null first and last
-word and score 0. Very long texts are searched whole. Rows and other columns pass through.
+word and score 0. Very long texts are searched whole. Rows and other columns pass through;
+columns named like a new one are an error.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import prepare, table
+from ._common import prepare, refuse_clash, table
 
 #: Exact phrases of the base search and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -63,7 +64,7 @@ class Scanner:
     def __init__(self, base=BASE, notices=NOTICES):
         self.base = [(f" {p} ".encode(), label, len(p.split())) for p, label in base]
         self.notices = [
-            (n, label, e, [(o, s.encode()) for o, s in seeds(n, e)], regex.compile(rf"(?b)(?<=^| )(?:{regex.escape(n, special_only=True)}){{e<={e}}}(?=$| )"))
+            (n, label, e, [(o, s.encode()) for o, s in seeds(n, e)], regex.compile(rf"(?e)(?<=^| )(?:{regex.escape(n, special_only=True)}){{e<={e}}}(?=$| )"))
             for n, label, e in notices
         ]
 
@@ -135,6 +136,7 @@ def _each(batches, text, notices):
 
 def scan(docs: DataFrame, text: str = "text", notices=NOTICES) -> DataFrame:
     """The other columns of ``docs`` with ``lic_words``, ``lic_exact`` (spans) and ``lic_hits`` (spans with edits)."""
+    refuse_clash(docs.drop(text), ["lic_words", "lic_exact", "lic_hits"])
     prepare(docs.sparkSession)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
     schema = (kept + ", " if kept else "") + "lic_words long, lic_exact array<struct<label:string,first:bigint,last:bigint>>, lic_hits array<struct<label:string,first:bigint,last:bigint,edits:int>>"

@@ -12,6 +12,7 @@ fewer bins than before. Rounds end when no gap is left, none was closed, or afte
 
 Edge cases: null and empty texts hold the end id alone and are one piece of length 1; repeated rows are
 pieces of their own; an empty table gives no rows. Offsets are gapless from 0 within a sequence.
+Other columns of the pieces pass through; one named ``row`` or like a new one is an error.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import materialize, prepare, table
+from ._common import materialize, prepare, refuse_clash, table
 
 LENGTH = 1024
 END_ID = 2
@@ -162,6 +163,7 @@ def _deal(rows: DataFrame, groups: int, round_: int, length: int) -> DataFrame:
 
 def pack(found: DataFrame, length: int = LENGTH, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
     """``found`` (as of :func:`pieces`, extra columns allowed) with ``sequence_id`` and ``offset``."""
+    refuse_clash(found, ["row", "sequence_id", "offset"])
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "pieces")
     whole = F.col("length") >= length
     full = found.where(whole).select("row", "length", F.col("row").alias("seq"))

@@ -1,8 +1,7 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
 A text becomes the counts of its token shapes (letter case, digits, punctuation, runs shortened), of shape
-pairs, of short word endings, and of a few coarse measures of length and repetition, hashed to a fixed
-width, damped, weighted by inverse document frequency and scaled to length one. A truncated singular value
+pairs, and of a few coarse measures of length and repetition, hashed to a fixed width, damped, weighted by inverse document frequency and scaled to length one. A truncated singular value
 decomposition of a bounded sample of labelled rows gives the latent space. The sample's vectors are
 broadcast (``SAMPLE * RANK`` floats: the proven size bound); each document's exact cosine with all of them
 is computed in blocks as matrix products, and its ``NEIGHBOURS`` nearest vote with their similarity.
@@ -21,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import fold_of, labelled_sample, prepare, table
+from ._common import LONGEST_CACHED, fold_of, labelled_sample, prepare, refuse_clash, table
 
 WIDTH = 2048  #: hashed features
 RANK = 48  #: latent dimensions
@@ -36,7 +35,7 @@ CACHE = 200_000
 def shape(token: str) -> str:
     """Upper and lower case letters and digits as A, a and 0, runs of one sign shortened to two at most."""
     out = []
-    for ch in token[:64]:
+    for ch in token:
         c = "0" if ch.isdigit() else ("A" if ch.isupper() else "a") if ch.isalpha() else ch
         if out and out[-1] == c and (c in "Aa0" or len(out) > 1 and out[-2] == c):
             continue
@@ -55,7 +54,9 @@ class Slots(dict):
         if len(self) >= CACHE:
             self.clear()
         s = shape(token)
-        self[token] = v = (zlib.crc32(s.encode("utf-8", "surrogatepass")), _slot("s", s))
+        v = (zlib.crc32(s.encode("utf-8", "surrogatepass")), _slot("s", s))
+        if len(token) <= LONGEST_CACHED:
+            self[token] = v
         return v
 
 
@@ -143,7 +144,8 @@ def fit(sample: DataFrame) -> QualityModel:
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", column: str = "quality_score") -> DataFrame:
-    """``docs`` with the score column, from whole texts, without a shuffle."""
+    """``docs`` with the score column, from whole texts, without a shuffle; a column of its name is an error, others pass through."""
+    refuse_clash(docs, [column])
     spark = docs.sparkSession
     prepare(spark)
     cast = spark.sparkContext.broadcast(model)

@@ -23,15 +23,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import fold_of, labelled_sample, prepare, table
+from ._common import LONGEST_CACHED, fold_of, labelled_sample, prepare, refuse_clash, table
 
 LEVELS = (0, 6, 5, 4)  #: whole word, then prefixes
 PRIOR = 10.0  #: documents that a level's class shares count beside those of the next finer level
-VOCABULARY = 60_000  #: most table entries of a model (a short string and a number each), the strongest first: its proven size bound
 LEAST = 3  #: documents that a table entry needs
 DRIFT = 1.0  #: taken off every token, so that ordinary text scores below zero
 FOLDS = 4  #: parts of the sample; law and curve are fitted on texts that the table in use has not seen
-SAMPLE = 20_000  #: most labelled rows that are learned from
+SAMPLE = 20_000  #: most labelled rows that are learned from: they bound the table of every model too
 CACHE = 300_000
 _EDGE = string.punctuation + "«»“”„‘’…–—¡¿"
 
@@ -92,7 +91,9 @@ class TokenScores(dict):
     def __missing__(self, token):
         if len(self) >= CACHE:
             self.clear()
-        self[token] = s = self.rule(token)
+        s = self.rule(token)
+        if len(token) <= LONGEST_CACHED:
+            self[token] = s
         return s
 
 
@@ -204,24 +205,33 @@ def fit_law(model: ToxicityModel, evidence: list[tuple[int, float, float]], toke
 
 
 def _observe(casts, batches):
-    """Of (text, y, fold) batches: y, tokens and packed maximal scores under the fold's model, best first; with the
-    batch's last row a histogram of ordinary token scores."""
+    """Of (text, y, fold) batches: y, tokens and best raw score under the fold's model; with the batch's last row a
+    histogram of ordinary token scores."""
     import pyarrow as pa
 
     models = casts.value
     for b in batches:
-        ys, ns, raws, hist = b.column("y").to_pylist(), [], [], np.zeros(len(_MIDS), np.int64)
+        ys, ns, tops, hist = b.column("y").to_pylist(), [], [], np.zeros(len(_MIDS), np.int64)
         for text, y, fold in zip(b.column("text").to_pylist(), ys, b.column("fold").to_pylist()):
             s = models[fold].scores_of(text or "")
             ns.append(len(s))
-            raws.append(np.sort([x for _, _, x in maximal_segments(s)])[::-1].astype("<f8").tobytes())
+            tops.append(max((x for _, _, x in maximal_segments(s)), default=0.0))
             if not y:
                 hist += np.histogram(s, _EDGES)[0]
         if ys:
             last = [None] * (len(ys) - 1) + [hist.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ys, pa.int32()), pa.array(ns, pa.int64()), pa.array(raws, pa.binary()), pa.array(last, pa.list_(pa.int64()))], ["y", "n", "raw", "hist"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(ns, pa.int64()), pa.array(tops, pa.float64()), pa.array(last, pa.list_(pa.int64()))], ["y", "n", "best", "hist"])
+
+
+def _weigh(casts, batches):
+    """Of (text, y, fold) batches: y and the evidence of each text, the sum of its significant segments under the fold's model and law."""
+    import pyarrow as pa
+
+    models = casts.value
+    for b in batches:
+        ys = b.column("y").to_pylist()
+        sums = [sum(v for _, _, v in models[fold].segments(text or "")) for text, fold in zip(b.column("text").to_pylist(), b.column("fold").to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(sums, pa.float64())], ["y", "evidence"])
 
 
 _EDGES = np.linspace(-1.1005, 8.0005, 181)
@@ -241,17 +251,13 @@ def fit(sample: DataFrame) -> ToxicityModel:
         return model
     counts = sample.select("text", (F.col("y") + 2 * F.col("fold")).cast("int").alias("y")).mapInArrow(document_parts, "level int, part string, y int, n long")
     each = [f"c{k}" for k in range(2 * FOLDS)]
-    n0, n1 = totals.sum(1)
     c0, c1 = (sum(F.col(f"c{k + 2 * f}") for f in range(FOLDS)) for k in (0, 1))
-    z = F.log((c1 + 0.5) / float(n1)) - F.log((c0 + 0.5) / float(n0))
-    strongest = (
+    found = (
         counts.groupBy("level", "part").agg(*[F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(each)])
-        .where(c0 + c1 >= LEAST)
-        .select("level", "part", *each, (z * z / (1 / (c1 + 0.5) + 1 / (c0 + 0.5))).alias("z2"))
-        .orderBy(F.desc("z2"), "level", "part").limit(VOCABULARY).toPandas()
+        .where(c0 + c1 >= LEAST).select("level", "part", *each).toPandas().sort_values(["level", "part"])
     )
-    entries = list(zip(strongest.level.tolist(), strongest.part.tolist()))
-    grid = strongest[each].to_numpy(float).reshape(len(entries), FOLDS, 2)
+    entries = list(zip(found.level.tolist(), found.part.tolist()))
+    grid = found[each].to_numpy(float).reshape(len(entries), FOLDS, 2)
 
     def table(seen: list[int]) -> dict[int, dict[str, float]]:
         sums = grid[:, seen].sum(1)
@@ -261,22 +267,28 @@ def fit(sample: DataFrame) -> ToxicityModel:
     model.odds = table(list(range(FOLDS)))
     apart = [ToxicityModel(table([k for k in range(FOLDS) if k != f])) for f in range(FOLDS)]
     cast = spark.sparkContext.broadcast(apart)
-    seen = sample.select("text", "y", "fold").mapInArrow(lambda it: _observe(cast, it), "y int, n long, raw binary, hist array<long>").collect()
+    rows = sample.select("text", "y", "fold")
+    seen = rows.mapInArrow(lambda it: _observe(cast, it), "y int, n long, best double, hist array<long>").collect()
+    cast.unpersist()
     hist = np.sum([r.hist for r in seen if r.hist], axis=0)
-    seen = [(r.y, r.n, np.frombuffer(r.raw, "<f8")) for r in seen]
     tokens = np.repeat(_MIDS, np.ceil(hist / max(1, np.sum(hist) / 10**5)).astype(int)) if np.sum(hist) else np.zeros(0)
-    fit_law(model, [(n, float(raw[0]) if len(raw) else 0.0, y) for y, n, raw in seen], tokens)
-    x = []
-    for _, n, raw in seen:
-        v = model.lam * raw - (model.log_k + math.log(n) if n else 0.0)
-        x.append(math.log1p(float(v[v > model.significant].sum())))
-    model.curve = _logistic(np.array(x), np.array([float(y) for y, _, _ in seen]))
+    fit_law(model, [(r.n, r.best, r.y) for r in seen], tokens)
+    for m in apart:
+        m.lam, m.log_k = model.lam, model.log_k
+    cast = spark.sparkContext.broadcast(apart)
+    # two numbers a labelled row, in an order that tasks do not decide
+    x = sorted((r.evidence, r.y) for r in rows.mapInArrow(lambda it: _weigh(cast, it), "y int, evidence double").collect())
     cast.unpersist()
+    model.curve = _logistic(np.array([math.log1p(v) for v, _ in x]), np.array([float(y) for _, y in x]))
     return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", prefix: str = "tox_") -> DataFrame:
-    """``docs`` with ``{prefix}score``, ``{prefix}segments`` (array of start, end, score), whole texts, no shuffle."""
+    """``docs`` with ``{prefix}score``, ``{prefix}segments`` (array of start, end, score), whole texts, no shuffle.
+
+    Columns of those names are an error, all others pass through.
+    """
+    refuse_clash(docs, [f"{prefix}score", f"{prefix}segments", "__tox"])
     spark = docs.sparkSession
     prepare(spark)
     cast = spark.sparkContext.broadcast(model)

@@ -6,7 +6,7 @@ greedy longest-match length comes out of one pass over its characters without a
 
 Words are cut at white space, and punctuation signs are words of their own; letters are lower-cased first.
 A word that the vocabulary cannot spell counts as one unknown token. Edge cases: a null or empty text has
-no words and no tokens; other columns pass through; a vocabulary without pieces makes every word unknown.
+no words and no tokens; other columns pass through, and those named like a new one are an error; a vocabulary without pieces makes every word unknown.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import prepare, table
+from ._common import LONGEST_CACHED, prepare, refuse_clash, table
 
 CACHE = 200_000
 _CUT = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -113,7 +113,9 @@ class Counter(dict):
             self.clear()
         words = _CUT.findall(token)
         lengths = [self.automaton.length(w) for w in words]
-        self[token] = v = (len(words), sum(max(1, x) for x in lengths), sum(x == 0 for x in lengths))
+        v = (len(words), sum(max(1, x) for x in lengths), sum(x == 0 for x in lengths))
+        if len(token) <= LONGEST_CACHED:
+            self[token] = v
         return v
 
     def count(self, text: str) -> tuple[int, int, int]:
@@ -128,6 +130,7 @@ _COUNTERS: dict[int, Counter] = {}
 
 def count_tokens(docs: DataFrame, initial: set[str], continuation: set[str], text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with ``{prefix}n_words``, ``{prefix}n_tokens``, ``{prefix}n_unknown`` of each whole text; no shuffle."""
+    refuse_clash(docs, [prefix + n for n in ("n_words", "n_tokens", "n_unknown")] + ["__wp"])
     spark = docs.sparkSession
     prepare(spark)
     cast = spark.sparkContext.broadcast((sorted(initial), sorted(continuation)))
