@@ -3,11 +3,10 @@
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and applies one operator.
 Classifiers learn from ``labels`` and from the stage's own input texts. All stages but the last return the
 columns of ``documents``. Near duplicates here are texts whose sets of five-word shingles have a similarity
-(Jaccard) of at least 0.8, computed from the whole sets; 64-bit fingerprints under four seeds at most six bits
-apart, and bands of min-hashes, only find the candidates. Of a
-component the row of the smallest id stays (of repeated ids one row). Rows without an id are in no
-component's lead and stay only if no row of their component has one. The near-duplicate stage numbers rows
-and so takes its ``docs`` straight from files, as every stage's predecessor leaves them.
+(Jaccard) of at least 0.8, computed from the whole sets; the byte-position index of 64-bit fingerprints, at most
+four bits apart, and bands of min-hashes only find the candidates. Of a component the row of the smallest id
+stays (of repeated ids one row). Rows without an id are in no component's lead and stay only if no row of
+their component has one.
 """
 
 from __future__ import annotations
@@ -17,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dependra.llm import line_dedup, near_copies, packing, quality, toxicity
 from dependra.llm._common import materialize, table
 
-NEAR = {"words": 5, "seeds": (42, 43, 44, 45), "bits": 6}  #: of the search for candidates
+NEAR = {"words": 5, "bits": 4}  #: of the search for candidates
 SIMILARITY = 0.8
-COPY_SHARE = 1.0  #: share of its characters that a text may lose to line deduplication: all, copies too
+COPIES = 0.8  #: similarity of lines from which a text is a copy of another one, which the near-duplicate stage judges whole
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +32,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    got = line_dedup.drop_recurring_lines(docs, most=COPY_SHARE)
+    got = line_dedup.drop_recurring_lines(docs, copies=COPIES)
     return got.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.keep_one(docs, **NEAR, similarity=SIMILARITY, stored=True)
+    return near_copies.keep_one(docs, **NEAR, similarity=SIMILARITY)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
