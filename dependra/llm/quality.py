@@ -29,6 +29,7 @@ NEIGHBOURS = 15
 SHARPNESS = 8.0  #: power of the similarity in a vote
 THRESHOLD = 0.7
 BLOCK = 256
+ITERATIONS = 24
 CACHE = 200_000
 
 
@@ -129,20 +130,39 @@ def fit(sample: DataFrame) -> QualityModel:
     rows = sorted((r for r in rows if r["at"]), key=lambda r: (r.doc_id, r.y))
     if len(rows) < 2:
         return QualityModel(None, None, None, None, 1.0 if not rows else float(rows[0].y))
-    x = np.zeros((len(rows), WIDTH), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["value"], "<f4")
     y = np.array([r.y for r in rows], np.float64)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
-    weighted = x * idf  # SAMPLE x WIDTH floats: 32 MB
-    weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-12)
-    _, vec = np.linalg.eigh(weighted.T @ weighted)
-    basis = np.ascontiguousarray(vec[:, ::-1][:, : min(RANK, len(rows))]).astype(np.float32)
+    x = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f4")) for r in rows]
+    idf = np.log((1 + len(x)) / (1 + np.bincount(np.concatenate([at for at, _ in x]), minlength=WIDTH))).astype(np.float32) + 0.1
+    gram = np.zeros((WIDTH, WIDTH), np.float32)
+    for block in _dense(x):  # a few rows at a time: the driver holds the sample sparse
+        block *= idf
+        block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-12)
+        gram += block.T @ block
+    basis = leading(gram, min(RANK, len(rows)))
     model = QualityModel(idf, basis, None, y, float(y.mean()))
-    model.vectors = model.latent(x)
+    model.vectors = np.concatenate([model.latent(block) for block in _dense(x)])
     return model
 
 
+def leading(gram: np.ndarray, rank: int) -> np.ndarray:
+    """Leading eigenvectors of a Gram matrix by subspace iteration from a fixed start: a narrow block beside the matrix is all it holds."""
+    y = np.random.default_rng(0).standard_normal((len(gram), min(len(gram), rank + 32))).astype(np.float32)
+    for _ in range(ITERATIONS):
+        y, _ = np.linalg.qr(gram @ y)
+    _, turn = np.linalg.eigh((y.T @ (gram @ y)).astype(np.float64))
+    return np.ascontiguousarray(y @ turn[:, ::-1][:, :rank].astype(np.float32))
+
+
+def _dense(x: list[tuple[np.ndarray, np.ndarray]]):
+    """Sparse rows (slots, values) as matrices of ``BLOCK`` rows."""
+    for start in range(0, len(x), BLOCK):
+        part = x[start : start + BLOCK]
+        out = np.zeros((len(part), WIDTH), np.float32)
+        for row, (at, value) in zip(out, part):
+            row[at] = value
+        yield out
+
+
 def score(docs: DataFrame, model: QualityModel, text: str = "text", column: str = "quality_score") -> DataFrame:
     """``docs`` with the score column, from whole texts, without a shuffle; a column of its name is an error, others pass through."""
     refuse_clash(docs, [column])

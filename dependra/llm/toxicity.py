@@ -99,9 +99,11 @@ class TokenScores(dict):
 
 @dataclass
 class ToxicityModel:
-    """``odds``: by level, the score of each table entry; lam, log_k: extreme-value law; curve: logistic."""
+    """``index``: by level, the number of each table entry; ``odds``: its score, not a number if the entry does not
+    count; lam, log_k: extreme-value law; curve: logistic."""
 
-    odds: dict[int, dict[str, float]] | None = None
+    index: dict[int, dict[str, int]] | None = None
+    odds: np.ndarray | None = None
     lam: float = 1.0
     log_k: float = 0.0
     curve: tuple[float, float] = (0.0, 0.0)
@@ -120,9 +122,9 @@ class ToxicityModel:
     def token_score(self, token: str) -> float:
         """The score of the finest table entry that covers the token."""
         w = token.strip(_EDGE)
-        if self.odds:
+        if self.index:
             for n in LEVELS:
-                if len(w) > n and (s := self.odds[n].get(w[:n] if n else w)) is not None:
+                if len(w) > n and (i := self.index[n].get(w[:n] if n else w)) is not None and (s := float(self.odds[i])) == s:
                     return s
         return -DRIFT
 
@@ -149,24 +151,33 @@ class ToxicityModel:
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, a + b * math.log1p(total)))))
 
 
-def log_odds(table: dict[tuple[int, str], tuple[float, float]], n0: float, n1: float) -> dict[int, dict[str, float]]:
-    """Log-odds of each entry (level, part) with (documents of class 0, of class 1) against the base rate.
+def index_of(levels: list[int], parts: list[str]) -> tuple[dict[int, dict[str, int]], np.ndarray]:
+    """By level, the number of each entry; and for each entry the number of the next coarser one, -1 without one."""
+    index: dict[int, dict[str, int]] = {n: {} for n in LEVELS}
+    for i, (level, part) in enumerate(zip(levels, parts)):
+        index[level][part] = i
+    parents = np.full(len(parts), -1, np.int64)
+    for i, (level, part) in enumerate(zip(levels, parts)):
+        for n in LEVELS[1:]:
+            if n < (level or len(part)) and (up := index[n].get(part[:n])) is not None:
+                parents[i] = up
+                break
+    return index, parents
+
+
+def log_odds(levels: np.ndarray, parents: np.ndarray, counts: np.ndarray, n0: float, n1: float) -> np.ndarray:
+    """Log-odds of each entry with ``counts`` (documents of class 0, of class 1) against the base rate; not a number without documents.
 
     The class shares of an entry have a Dirichlet prior of mass ``PRIOR`` around those of the next coarser entry.
     """
     base = n1 / (n0 + n1)
-    out: dict[int, dict[str, float]] = {n: {} for n in LEVELS}
-    for level, part in table:
-        q = base
-        for n in reversed(LEVELS):
-            if n and (len(part) < n or len(part) == n and level != n) or not n and level:
-                continue
-            counts = table.get((n, part[:n] if n else part))
-            if counts is not None:
-                q = (counts[1] + PRIOR * q) / (counts[0] + counts[1] + PRIOR)
-        odds = math.log(q / (1.0 - q)) - math.log(base / (1.0 - base))
-        out[level][part] = min(8.0, max(-1.0, odds)) - DRIFT
-    return out
+    share = np.full(len(levels) + 1, base)  # the last is what parent -1 means
+    for level in reversed(LEVELS):
+        at = np.flatnonzero(levels == level)
+        share[at] = (counts[at, 1] + PRIOR * share[parents[at]]) / (counts[at].sum(1) + PRIOR)
+    share = share[:-1]
+    odds = np.log(share / (1.0 - share)) - math.log(base / (1.0 - base))
+    return np.where(counts.sum(1) > 0, np.clip(odds, -1.0, 8.0) - DRIFT, np.nan)
 
 
 def _lambda_of(scores: np.ndarray) -> float:
@@ -254,18 +265,18 @@ def fit(sample: DataFrame) -> ToxicityModel:
     c0, c1 = (sum(F.col(f"c{k + 2 * f}") for f in range(FOLDS)) for k in (0, 1))
     found = (
         counts.groupBy("level", "part").agg(*[F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(each)])
-        .where(c0 + c1 >= LEAST).select("level", "part", *each).toPandas().sort_values(["level", "part"])
+        .where(c0 + c1 >= LEAST).select("level", "part", *each).toArrow()
     )
-    entries = list(zip(found.level.tolist(), found.part.tolist()))
-    grid = found[each].to_numpy(float).reshape(len(entries), FOLDS, 2)
+    levels = found["level"].to_numpy()
+    index, parents = index_of(levels.tolist(), found["part"].to_pylist())
+    grid = np.stack([found[c].to_numpy() for c in each], 1).astype(float).reshape(len(levels), FOLDS, 2)
+    del found
 
-    def table(seen: list[int]) -> dict[int, dict[str, float]]:
-        sums = grid[:, seen].sum(1)
-        n = totals[:, seen].sum(1) + 0.5
-        return log_odds({e: (a, b) for e, (a, b) in zip(entries, sums.tolist()) if a + b > 0}, n[0], n[1])
+    def table(seen: list[int]) -> np.ndarray:
+        return log_odds(levels, parents, grid[:, seen].sum(1), *(totals[:, seen].sum(1) + 0.5))
 
-    model.odds = table(list(range(FOLDS)))
-    apart = [ToxicityModel(table([k for k in range(FOLDS) if k != f])) for f in range(FOLDS)]
+    model.index, model.odds = index, table(list(range(FOLDS)))
+    apart = [ToxicityModel(index, table([k for k in range(FOLDS) if k != f])) for f in range(FOLDS)]
     cast = spark.sparkContext.broadcast(apart)
     rows = sample.select("text", "y", "fold")
     seen = rows.mapInArrow(lambda it: _observe(cast, it), "y int, n long, best double, hist array<long>").collect()
