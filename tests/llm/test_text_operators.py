@@ -91,6 +91,58 @@ def test_quality_held_out_and_edges(spark, small, odd, labels):
     assert docs.count() == 1000
 
 
+def test_long_tokens_are_read_whole(spark):
+    assert quality.shape("ab" * 40 + "12" + "Q") == "a0A" and quality.shape("ab" * 40) == "a"
+    m = toxicity.ToxicityModel()
+    m.scores_of("x" * 100 + " y")
+    assert set(m._seen) == {"y"}
+
+
+def test_sample_is_bounded_by_rows(spark):
+    from dependra.llm._common import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "two"), (3, "three"), (None, "x")], "doc_id long, text string")
+    lab = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, y int")
+    got = labelled_sample(docs, lab, "y", F.lit(True), 3).collect()
+    assert len(got) <= 3 and len({r.doc_id for r in got}) == len(got)
+    one = [labelled_sample(docs.repartition(k), lab.where("doc_id = 1"), "y", F.lit(True), 2).collect() for k in (1, 7)]
+    assert len(one[0]) == 1 and one[0] == one[1]
+
+
+def test_table_entries_back_off_to_the_next_coarser():
+    words = ["insulting", "insults", "insu", "calm", "weatherman"]
+    entries = sorted({e for w in words for e in toxicity.parts(w)})
+    levels, parts_ = [e[0] for e in entries], [e[1] for e in entries]
+    index, parents = toxicity.index_of(levels, parts_)
+    up = {entries[i]: entries[p] if p >= 0 else None for i, p in enumerate(parents)}
+    assert up[(0, "insulting")] == (6, "insult") and up[(6, "insult")] == (5, "insul") and up[(5, "insul")] == (4, "insu") and up[(4, "insu")] is None
+    assert up[(0, "insu")] is None and up[(0, "calm")] is None and all(index[n][p] == i for i, (n, p) in enumerate(entries))
+    counts = np.array([(3.0, 5.0) if p.startswith("insu") else (4.0, 0.0) for _, p in entries])
+    got = dict(zip(entries, toxicity.log_odds(np.array(levels), parents, counts, 20.0, 10.0)))
+    q = base = 10.0 / 30.0
+    for e in ((4, "insu"), (5, "insul"), (6, "insult"), (0, "insulting")):
+        q = (5.0 + toxicity.PRIOR * q) / (8.0 + toxicity.PRIOR)
+        want = np.log(q / (1 - q)) - np.log(base / (1 - base))
+        assert got[e] == pytest.approx(min(8.0, max(-1.0, want)) - toxicity.DRIFT)
+    assert np.isnan(toxicity.log_odds(np.array([0]), np.array([-1]), np.zeros((1, 2)), 2.0, 1.0)[0])
+
+
+def test_clashing_names_are_errors(spark, odd):
+    pieces = wordpiece.pieces_of(P.path("piece_bpe_32k.model"))
+    for call in (
+        lambda: wordpiece.count_tokens(odd.withColumn("N_words", F.lit(1)), *pieces),
+        lambda: simhash.fingerprints(odd.withColumn("fp", F.lit(1))),
+        lambda: simhash.keep_one(odd.withColumn("__row", F.lit(1))),
+        lambda: licenses.scan(odd.withColumn("lic_words", F.lit(1))),
+        lambda: toxicity.score(odd.withColumn("tox_score", F.lit(1)), toxicity.ToxicityModel()),
+        lambda: quality.score(odd.withColumn("quality_score", F.lit(1)), quality.QualityModel(None, None, None, None, 1.0)),
+        lambda: packing.pack(odd.withColumn("row", F.lit(1))),
+        lambda: exact_dedup.deduplicate(odd.withColumn("group_size", F.lit(1))),
+    ):
+        with pytest.raises(ValueError):
+            call()
+
+
 def test_neighbours_are_exact():
     rng = np.random.default_rng(0)
     v = rng.standard_normal((50, 4))
@@ -365,6 +417,11 @@ def test_license_scan():
     assert s.scan(None or "") == (0, [], [])
 
 
+def test_notices_close_together_are_all_reported():
+    hits = licenses.Scanner().scan("undr the mit license and under the mit license")[2]
+    assert [(h.first, h.edits) for h in hits if h.label == "mit"] == [(0, 1), (5, 0)]
+
+
 def test_fuzzy_search_finds_all_that_brute_force_finds():
     import regex
 
@@ -443,6 +500,20 @@ def test_packing(spark, odd, monkeypatch):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_ids_are_those_of_the_library():
+    """The fast way to the ids against ``tokenizers``: every code point, alone and among others, and whole documents."""
+    import pyarrow.parquet as pq
+
+    t = packing.Tokens(open(P.path("byte_bpe_50k.json"), "rb").read(), open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(points[i : i + 64]) for i in range(0, len(points), 64)] + ["a".join(points[i : i + 64]) + " " + " ".join(points[i : i + 64]) for i in range(0, len(points), 64)]
+    texts += [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    for start in range(0, len(texts), 4096):
+        part = texts[start : start + 4096]
+        for text, want in zip(part, t.slow.encode_batch(part, add_special_tokens=False)):
+            assert t.ids(text).tolist() == want.ids
+
+
 def test_exchange_rounds(spark):
     rng = np.random.default_rng(0)
     sizes = np.concatenate([rng.integers(30, 45, 300), rng.integers(50, 58, 200), rng.integers(1, 9, 40)])
@@ -508,13 +579,38 @@ def test_top_k_few_and_huge(spark):
     got = topk.top_k(df, F.col("vec_id") == 0, 20).collect()
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(3, (1 << 63) - 1), (1, (64 * 10**7) ** 2 + 64 * 128), (2, -64 * 64 * 10**7)]
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
+    df = spark.createDataFrame([(0, [2e12, 1.5]), (1, [0.0, 1.0]), (2, [-1e300, 0.0]), (3, [2e12, 0.0])], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id").isin(0, 1), 20).collect()
+    rows = [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: (r.query_id, r["rank"]))]
+    assert rows == [(0, 1, 3, (1 << 63) - 1), (0, 2, 1, 96 * 64), (0, 3, 2, -(1 << 63)), (1, 1, 0, 96 * 64), (1, 2, 2, 0), (1, 3, 3, 0)]
+
+
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk, "SAMPLE", 50)
+    rng = np.random.default_rng(4)
+    v = rng.integers(-300, 300, (300, 8))
+    got = topk.top_k(spark.createDataFrame([(i, [float(c) / 64 for c in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>"), F.col("vec_id") % 4 == 0, 5)
+    want = []
+    for q in range(0, 300, 4):
+        s = v @ v[q]
+        want += [(q, k + 1, i, int(s[i])) for k, i in enumerate(sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:5])]
+    assert rows_of(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
 
 
 def test_elimination_skips_candidates():
     rng = np.random.default_rng(1)
     x = (np.repeat(rng.standard_normal((8, 3)) * 300, 200, 0) + rng.standard_normal((1600, 3))).astype(np.int64)
-    found, evaluated = topk.search_block(np.arange(8), x[::200], np.arange(1600), x, 5, step=32)
+    f = x.astype(float)
+    space = topk.space_of(f[::3], float((f**2).sum(1).max()))
+    tables = [space.distances(a, query) for a, query in ((f[::200], True), (f, False))]
+    found, evaluated = topk.search_block(np.arange(8), f[::200], tables[0], np.arange(1600), f, tables[1], space, 5, step=32)
     assert evaluated < 8 * 1600 * 0.6
+    # candidates that cannot reach a known k-th score are not evaluated in further blocks
+    floors = np.array([scores[-1] for _, _, scores in found], float)
+    again, fewer = topk.search_block(np.arange(8), f[::200], tables[0], np.arange(1600), f, tables[1], space, 5, floors, step=32)
+    assert fewer <= evaluated and [list(r[2]) for r in again] == [list(r[2]) for r in found]
     for i, rows, scores in found:
         s = (x @ x[i * 200]).astype(float)
         s[i] = -np.inf
