@@ -145,17 +145,21 @@ def bit_is_set(bitmap: Column, position: Column) -> Column:
 
 
 HOT_SHARE = 1000
+HOT_ROWS = 10_000  #: fewer rows of a key make no task large, whatever their share
 
 
 def join_by_weight(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """Join with ``right``, whose key is unique and whose ``weight`` is the key's number of rows in ``left``.
 
-    Keys of more than a thousandth of ``total`` rows number fewer than a thousand: they are joined by
-    broadcast, whose size is thus bounded. Every other key goes by exchange, and none of those can make a
-    task large. ``left`` is read twice and should be a table. ``weight`` is dropped.
+    Keys of more than a thousandth of ``total`` rows (and more than ``HOT_ROWS``) number fewer than a thousand:
+    they are joined by broadcast, whose size is thus bounded. Every other key goes by exchange, and none of those
+    can make a task large. ``left`` is read twice, if there are such keys, and should be a table, as should
+    ``right``. ``weight`` is dropped.
     """
     others = [c for c in right.columns if c not in on and c != weight]
-    heavy = F.col(weight) * HOT_SHARE > F.lit(int(total))
+    heavy = (F.col(weight) * HOT_SHARE > F.lit(int(total))) & (F.col(weight) > HOT_ROWS)
+    if total <= HOT_ROWS or right.where(heavy).isEmpty():
+        return left.join(right.drop(weight), on, how)
     hot = right.where(heavy).drop(weight).withColumn("__heavy", F.lit(True))
     met = left.join(F.broadcast(hot), on, "left")
     rest = met.where(F.col("__heavy").isNull()).drop("__heavy", *others).join(right.where(~heavy).drop(weight), on, how)

@@ -56,10 +56,10 @@ def _digest(line: Column) -> Column:
 
 def numbered_lines(docs: DataFrame, text: str, depth: int, min_tokens: int) -> DataFrame:
     """``docs`` with ``__row`` and ``__lines`` (size, line, leaf; line is null where it is too short): the one pass over all texts."""
-    cut = F.transform(templates(F.col(text)), lambda line: F.struct(line.alias("line"), _tokens(line).alias("tokens")))
-    size = lambda x: F.when(x["line"] == "", 0).otherwise(F.size(x["tokens"]))
-    lines = F.transform(cut, lambda x: F.struct(
-        size(x).alias("size"), F.when(size(x) >= min_tokens, _digest(x["line"])).alias("line"), F.xxhash64(F.size(x["tokens"]), F.slice(x["tokens"], 1, depth)).alias("leaf")
+    size = lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+    sized = F.transform(templates(F.col(text)), lambda x: F.struct(x.alias("line"), size(x).alias("size")))
+    lines = F.transform(sized, lambda x: F.struct(
+        x["size"], F.when(x["size"] >= min_tokens, _digest(x["line"])).alias("line"), F.xxhash64(x["size"], F.substring_index(x["line"], " ", depth)).alias("leaf")
     ))
     return materialize(docs.withColumn("__lines", lines).withColumn("__row", F.monotonically_increasing_id()), "numbered")
 
@@ -93,8 +93,9 @@ def _templates_of(stored: DataFrame, text: str, lines: DataFrame, similarity: fl
     each = met.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("at", "token", F.coalesce("f", "n").alias("f")))).alias("x"))
     rank = F.ceil(F.size("x") * similarity - 1e-9).cast("int")
     least = F.element_at(F.sort_array(F.col("x.f"), asc=False), rank)
-    kept = F.transform(F.filter("x", lambda x: x["f"] >= F.col("least")), lambda x: F.concat(x["at"], F.lit(":"), x["token"]))
-    return each.withColumn("least", least).select("line", _digest(F.concat_ws(",", F.col("leaf").cast("string"), F.array_join(kept, ","))).alias("template"))
+    # bound as an array of one, so that the least count is taken once a line and not once a token
+    kept = F.flatten(F.transform(F.array(least), lambda t: F.filter("x", lambda x: x["f"] >= t)))
+    return each.select("line", _digest(F.concat_ws(",", F.col("leaf").cast("string"), kept.cast("string"))).alias("template"))
 
 
 def dropped_lines(stored: DataFrame, doc_id: str, text: str, min_docs: int, long_docs: int, similarity: float, copies: float | None) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers as P
-from dependra.llm import bpe, exact_dedup, licenses, line_dedup, packing, quality, simhash, topk, toxicity, wordpiece
+from dependra.llm import _common, bpe, exact_dedup, licenses, line_dedup, packing, quality, simhash, topk, toxicity, wordpiece
 from dependra.llm._common import join_by_weight
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -617,7 +617,9 @@ def test_elimination_skips_candidates():
         assert list(scores) == sorted((s), reverse=True)[:5]
 
 
-def test_join_by_weight_is_a_join(spark):
+@pytest.mark.parametrize("least", [0, 20, 10_000])
+def test_join_by_weight_is_a_join(spark, least, monkeypatch):
+    monkeypatch.setattr(_common, "HOT_ROWS", least)
     left = spark.createDataFrame([(i, i % 7 if i % 2 else 0) for i in range(200)], "i int, k int")
     right = left.groupBy("k").agg(F.count(F.lit(1)).alias("w"), F.max("i").alias("top"))
     assert rows_of(join_by_weight(left, right, ["k"], "w", 200), "i", "top") == rows_of(left.join(right, "k"), "i", "top")
