@@ -125,9 +125,12 @@ def fit(df: DataFrame, copula: Copula, u: str, v: str, by: Sequence[str], order:
     return df.groupBy(*by).applyInPandas(run, schema)
 
 
-def fit_large(df: DataFrame, copula: Copula, u: str, v: str, points: int = 17, passes: int = 4) -> dict:
+def fit_large(df: DataFrame, copula: Copula, u: str, v: str, points: int = 17, passes: int = 4, stored: bool = False) -> dict:
     """Maximum likelihood over a table of any size: each scan sums the likelihood at ``points`` parameters and narrows
-    the bracket; the last is finished by the parabola through its best three points and one more scan."""
+    the bracket; the last is finished by the parabola through its best three points and one more scan.
+
+    The pairs are kept for the scans, on disk where memory is short, unless ``stored`` says that they are. It is a
+    success if the best parameter lies inside the family's bounds."""
     if copula.family == "independence":
         return _result("mle", copula, 0.0, {}, df.count(), True, 1, "no parameter")
     pair = df.select(F.col(u).alias("__u"), F.col(v).alias("__v"))
@@ -135,6 +138,8 @@ def fit_large(df: DataFrame, copula: Copula, u: str, v: str, points: int = 17, p
     if copula.family == "gaussian":  # the scores are columns of their own, not repeated in every candidate
         pair = pair.select(s.norm_ppf(col, F.col("__u")).alias("__u"), s.norm_ppf(col, F.col("__v")).alias("__v"))
         value = lambda r: copula.base.log_pdf_scores(col, F.col("__u"), F.col("__v"), F.lit(float(r)))
+    if not stored or copula.family == "gaussian":
+        pair = pair.persist()
 
     def scan(grid) -> tuple[int, list[float]]:
         row = pair.agg(*[F.sum(value(r)).alias(f"s{i}") for i, r in enumerate(grid)], F.count(F.lit(1)).alias("n")).first()
@@ -142,8 +147,10 @@ def fit_large(df: DataFrame, copula: Copula, u: str, v: str, points: int = 17, p
 
     lo, hi = _bounds(copula)
     grid = np.linspace(lo, hi, points) if copula.family == "gaussian" else lo + np.geomspace(1e-3, hi - lo, points)
+    ends = grid[0], grid[-1]
     n, values = scan(grid)
     if n == 0:
+        pair.unpersist()
         return _result("mle", copula, 0.0, {}, 0, False, 1, "no rows")
     for _ in range(passes - 1):
         i = int(np.argmax(values))
@@ -159,7 +166,9 @@ def fit_large(df: DataFrame, copula: Copula, u: str, v: str, points: int = 17, p
             best = scan([top])[1][0]
             if best >= ll:
                 r, ll = float(top), float(best)
-    return _result("mle", copula, ll, {"r": r}, n, True, passes + 1, "bracket is small")
+    pair.unpersist()
+    inside = ends[0] < r < ends[1]
+    return _result("mle", copula, ll, {"r": r}, n, inside, passes + 1, "bracket is small" if inside else "at a bound")
 
 
 def candidates(tau: float, families: Sequence[str] = tuple(FAMILIES)) -> list[Copula]:

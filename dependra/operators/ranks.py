@@ -8,22 +8,35 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 BUCKETS_PER_ROWS = 2_000_000  #: rows of a bucket of the global rank
 MOST_BUCKETS = 10_000
+GROUP_ROWS = 1_000_000  #: groups of at most so many rows are sorted whole, each in a task
 
 
 def pseudo_observations(df: DataFrame, columns: Sequence[str], ties: Sequence[str], by: Sequence[str] = (), prefix: str = "u_") -> DataFrame:
     """``df`` with ``{prefix}{column}`` = ordinal rank / (n + 1).
 
     Ranks are ordinal, so ``ties`` should name a unique key: equal values are ordered by it. Nulls of a
-    column get a null and do not count. With ``by`` every group is ranked on its own. Without it the order
-    is over the whole table, without a single-task sort: values fall into buckets between approximate
-    quantiles, ranks are taken in each bucket and the sizes of the lower buckets are added.
+    column get a null and do not count. With ``by`` every group is ranked on its own. No task sorts a large group:
+    values fall into buckets between approximate quantiles of the whole table, ranks are taken in each bucket of
+    a group and the sizes of the group's lower buckets are added. Only groups of up to ``GROUP_ROWS`` rows are
+    sorted whole, if there are no larger ones.
     """
-    for c in columns:
-        df = _by_group(df, c, list(ties), list(by), prefix) if by else _global(df, c, list(ties), prefix)
+    columns, ties, by = list(columns), list(ties), list(by)
+    n = df.count()
+    if by and (n <= GROUP_ROWS or df.groupBy(*by).count().agg(F.max("count")).first()[0] <= GROUP_ROWS):
+        for c in columns:
+            df = _whole(df, c, ties, by, prefix)
+        return df
+    buckets = max(8, min(MOST_BUCKETS, -(-n // BUCKETS_PER_ROWS)))
+    cuts = df.approxQuantile(columns, [i / buckets for i in range(1, buckets)], 0.25 / buckets) if n else [[]] * len(columns)
+    # a value that fills several buckets is split by the first tie key, whose order continues the value's
+    number = dict(df.dtypes)[ties[0]] in ("bigint", "int", "double", "float")
+    second = sorted(set(df.approxQuantile(ties[0], [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if n and number else []
+    for c, own in zip(columns, cuts):
+        df = _bucketed(df, c, ties, by, prefix, sorted(set(own)), second)
     return df
 
 
-def _by_group(df: DataFrame, c: str, ties: list[str], by: list[str], prefix: str) -> DataFrame:
+def _whole(df: DataFrame, c: str, ties: list[str], by: list[str], prefix: str) -> DataFrame:
     live = F.col(c).isNotNull()
     order = Window.partitionBy(*by, live).orderBy(c, *ties)
     whole = Window.partitionBy(*by, live)
@@ -31,26 +44,29 @@ def _by_group(df: DataFrame, c: str, ties: list[str], by: list[str], prefix: str
     return df.withColumn(prefix + c, F.when(live, rank))
 
 
-def _global(df: DataFrame, c: str, ties: list[str], prefix: str) -> DataFrame:
-    n = df.count()
-    buckets = max(8, min(MOST_BUCKETS, -(-n // BUCKETS_PER_ROWS)))
-    cuts = sorted(set(df.approxQuantile(c, [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if n else []
-    # a value that fills several buckets is split by the first tie key, whose order continues the value's
-    second = sorted(set(df.approxQuantile(ties[0], [i / 8 for i in range(1, 8)], 0.03))) if n and dict(df.dtypes)[ties[0]] in ("bigint", "int", "double", "float") else []
-    bucket = F.struct(_bucket(c, cuts).alias("b"), F.when(F.col(c).isin(cuts), F.lit(1)).otherwise(F.lit(0)).alias("own"), F.when(F.col(c).isin(cuts), _bucket(ties[0], second)).otherwise(F.lit(0)).alias("t"))
-    marked = df.withColumn("__b", F.when(F.col(c).isNotNull(), bucket))
-    sizes = marked.where("__b is not null").groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    # fewer rows than twice the buckets times eight: the running sum is over this small table
-    before = sizes.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
-    ranked = marked.join(F.broadcast(before), "__b", "left").withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(c, *ties)))
-    return ranked.withColumn(prefix + c, F.when(F.col(c).isNotNull(), (F.col("__r") + F.col("__before")) / (F.col("__all") + 1.0))).drop("__b", "__r", "__before", "__all")
+def _bucketed(df: DataFrame, c: str, ties: list[str], by: list[str], prefix: str, cuts: list[float], second: list[float]) -> DataFrame:
+    many = F.col(c).isin(cuts)
+    number = _bucket(c, cuts) * 2 + F.when(many, 1).otherwise(0)
+    # one number in the order of (bucket, whether the value is a cut, bucket of the tie key); null for nulls
+    number = number.cast("long") * (len(second) + 1) + F.when(many, _bucket(ties[0], second)).otherwise(0)
+    # a struct, so that groups with a null key meet in the join; rows are exchanged once, by group and bucket
+    marked = df.withColumn("__b", F.when(F.col(c).isNotNull(), number)).withColumn("__g", F.struct(*by) if by else F.struct(F.lit(0).alias("all")))
+    sizes = marked.where("__b is not null").groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    # a small table: some rows a group and bucket
+    group = Window.partitionBy("__g")
+    before = sizes.select("__g", "__b", (F.sum("__n").over(group.orderBy("__b")) - F.col("__n")).alias("__before"), F.sum("__n").over(group).alias("__all"))
+    ranked = marked.withColumn("__r", F.row_number().over(Window.partitionBy("__g", "__b").orderBy(c, *ties))).join(before, ["__g", "__b"], "left")
+    return ranked.withColumn(prefix + c, F.when(F.col("__b").isNotNull(), (F.col("__r") + F.col("__before")) / (F.col("__all") + 1.0))).drop("__g", "__b", "__r", "__before", "__all")
 
 
 def _bucket(c: str, cuts: list[float]):
-    """Number of cuts below a value: equal values share a bucket with nothing that is not next to them."""
+    """Number of cuts below a value, by bisection: equal values share a bucket with nothing that is not next to them."""
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.lit(cuts), lambda x: x < F.col(c).cast("double")))
+    x, n = F.col(c).cast("double"), len(cuts)
+    steps = [1 << k for k in reversed(range(n.bit_length()))]
+    below = lambda at: (at <= n) & (F.element_at(F.lit(cuts), F.least(at, F.lit(n))) < x)
+    return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(below(at + step), at + step).otherwise(at))
 
 
 def assert_unit(df: DataFrame, columns: Sequence[str], allow_boundary: bool = False) -> DataFrame:

@@ -356,7 +356,7 @@ def _fit_edge(pair: DataFrame, e: Edge, tau: float, families, threshold: float,
     pool = [c for c in candidates(tau, families) if c.family != "independence"]
     row = pair.agg(*[F.sum(c.log_pdf(col, F.col("__x"), F.col("__y"), F.lit(c.start(tau)))).alias(f"s{i}") for i, c in enumerate(pool)]).first()
     best = sorted(range(len(pool)), key=lambda i: -(row[f"s{i}"] or 0.0))[:keep]
-    fits = [(fit_large(pair, pool[i], "__x", "__y"), pool[i]) for i in best]
+    fits = [(fit_large(pair, pool[i], "__x", "__y", stored=True), pool[i]) for i in best]
     top, copula = min(fits, key=lambda k: k[0]["aic"])
     if top["aic"] >= 0.0:
         return Edge(e.a, e.b, e.cond, INDEPENDENT, 0.0, tau, 0.0)

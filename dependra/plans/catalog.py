@@ -125,7 +125,7 @@ for _f in ("clayton", "frank", "gumbel", "joe"):
     add(
         f"{_f}_hinv_round_trip",
         lambda spark, d, c=Copula(_f), r=_r: event_pobs(spark, d).groupBy("user_id").agg(
-            F.max(F.abs(c.h(col, c.h_inv(col, F.col("u"), F.col("v"), F.lit(r)), F.col("v"), F.lit(r)) - F.col("u")) < 1e-7).alias("exact"), F.count(F.lit(1)).alias("n")
+            (F.max(F.abs(c.h(col, c.h_inv(col, F.col("u"), F.col("v"), F.lit(r)), F.col("v"), F.lit(r)) - F.col("u"))) < 1e-7).alias("exact"), F.count(F.lit(1)).alias("n")
         ),
         f"SELECT user_id, true AS exact, count(*) AS n FROM ({sql.event_pobs()}) GROUP BY user_id",
     )
@@ -289,7 +289,12 @@ add(
     f"l AS (SELECT c_mktsegment, tau, r, sum({sql.fill(sql.LOG_C['clayton'], 'u', 'v', 'r')}) AS l, count(*) AS n FROM q GROUP BY ALL) "
     "SELECT c_mktsegment, round(tau, 6) + 0.0 AS tau, round(r, 6) AS r, round(l, 4) + 0.0 AS log_likelihood, n, round(2 - 2 * l, 4) + 0.0 AS aic FROM l",
 )
-add("clayton_by_flag", clayton_by_flag)
+add(
+    "clayton_by_flag", clayton_by_flag,
+    f"WITH p AS ({sql.lineitem_pobs()}), t AS ({sql.tau_of_ranks(sql.lineitem_pobs(), 'l_returnflag')}), q AS (SELECT p.*, tau, 2*greatest(0.01::DOUBLE, tau)/(1-greatest(0.01::DOUBLE, tau)) AS r FROM p JOIN t USING (l_returnflag)), "
+    f"l AS (SELECT l_returnflag, tau, r, sum({sql.fill(sql.LOG_C['clayton'], 'u', 'v', 'r')}) AS l, count(*) AS n FROM q GROUP BY ALL) "
+    "SELECT l_returnflag, round(tau, 6) + 0.0 AS tau, round(r, 6) AS r, round(l, 4) + 0.0 AS log_likelihood, n, round(2 - 2 * l, 4) + 0.0 AS aic FROM l",
+)
 add(
     "tau_matrix",
     lambda spark, d: agg.tau_matrix(read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("double").alias("s_nationkey"), "s_acctbal", (F.col("s_suppkey") % 7).cast("double").alias("k")), ["s_nationkey", "s_acctbal", "k"]).select("a", "b", r6(F.col("tau")).alias("tau")),
@@ -369,7 +374,8 @@ add(
 _OMEGA, _GAMMA, _BETA = 0.05, 0.1, 0.8
 
 
-def _gas_sql() -> str:
+def _gas_sql(last: str | None = None) -> str:
+    """The filter as a recursion over ``n``; ``last`` selects from its rows j (with state g before each observation)."""
     r, prev = "(1e-4 + ln(1+exp(g)))", "p.g"
     score = sql.fill(sql.SCORE["clayton"], "o.u", "o.v", "1e-4+ln(1+exp(p.g))")
     ll = sql.fill(sql.LOG_C["clayton"], "u", "v", "1e-4+ln(1+exp(g))")
@@ -377,10 +383,15 @@ def _gas_sql() -> str:
         f"WITH RECURSIVE o AS (SELECT * FROM ({sql.event_pobs()})), f(user_id, n, g) AS (SELECT DISTINCT user_id, 1::BIGINT, ({_OMEGA}/(1-{_BETA}))::DOUBLE FROM o UNION ALL "
         f"SELECT p.user_id, p.n + 1, greatest(-50.0, least(50.0, {_OMEGA} + {_BETA} * {prev} + {_GAMMA} * greatest(-100.0, least(100.0, ({score}) / (1 + exp(-p.g)))))) FROM f p JOIN o ON o.user_id = p.user_id AND o.n = p.n), "
         f"j AS (SELECT o.*, g, count(*) OVER (PARTITION BY o.user_id) AS m FROM o JOIN f USING (user_id, n)) "
-        f"SELECT user_id, round(sum({ll}), 4) + 0.0 AS log_likelihood, round(max(CASE WHEN n = m THEN g END), 5) + 0.0 AS g_last, round(max(CASE WHEN n = m THEN {r} END), 5) + 0.0 AS r_last FROM j GROUP BY user_id"
+        + (last or f"SELECT user_id, round(sum({ll}), 4) + 0.0 AS log_likelihood, round(max(CASE WHEN n = m THEN g END), 5) + 0.0 AS g_last, round(max(CASE WHEN n = m THEN {r} END), 5) + 0.0 AS r_last FROM j GROUP BY user_id")
     )
 
 
+def gas_rows_sql() -> str:
+    e2 = sql.fill(sql.H["clayton"], "v", "u", "1e-4+ln(1+exp(g))")
+    return _gas_sql(f"SELECT user_id, round(avg(1e-4+ln(1+exp(g))), 4) + 0.0 AS r, round(avg({e2}), 4) + 0.0 AS e2 FROM j GROUP BY user_id")
+
+
 add(
     "gas_filter_clayton",
     lambda spark, d: rec.gas_filter(event_pobs(spark, d), Copula("clayton"), "u", "v", (_OMEGA, _GAMMA, _BETA), ["user_id"], ["n"]).select(

@@ -13,7 +13,7 @@ from ..functions.backend import col
 from ..functions.families import Copula
 from ..operators import aggregates as agg, fit, gof, latent, marginals, multivariate as mv, ranks, recursions as rec, risk, sample, vine as vines, windows as win
 from . import sql
-from .catalog import LINE_TIES, PARAMETER, _AT, _BY, add, event_pobs, lineitem_pobs, r6, read, segment_pobs
+from .catalog import LINE_TIES, PARAMETER, _AT, _BY, add, event_pobs, gas_rows_sql, lineitem_pobs, r6, read, segment_pobs
 
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
 _CORR = np.array([[1.0, 0.5, 0.2], [0.5, 1.0, 0.3], [0.2, 0.3, 1.0]])
@@ -177,11 +177,9 @@ _TREE = "SELECT * FROM (VALUES (1, [0, 1]), (2, [1, 2]), (3, [1, 3]), (4, [3, 4]
 
 
 def proximity_pairs(spark, d) -> DataFrame:
-    """Pairs of edges of a tree that share all but one variable each, as a join on array sizes."""
-    t = spark.createDataFrame([(1, [0, 1]), (2, [1, 2]), (3, [1, 3]), (4, [3, 4])], "edge int, vars array<int>")
-    a, b = t.alias("a"), t.alias("b")
-    near = (F.col("a.edge") < F.col("b.edge")) & (F.size(F.array_except("a.vars", "b.vars")) == 1) & (F.size(F.array_except("b.vars", "a.vars")) == 1)
-    return a.join(b, near).select(F.col("a.edge").alias("x"), F.col("b.edge").alias("y"), F.array_join(F.array_intersect("a.vars", "b.vars"), ",").alias("cond"))
+    """Pairs of edges of a tree that share all but one variable each."""
+    tree = [vines.Edge(*x) for x in ((0, 1), (1, 2), (1, 3), (3, 4))]
+    return spark.createDataFrame([(i + 1, j + 1, ",".join(map(str, sorted(e.cond)))) for i, j, e in vines.next_candidates(tree)], "x int, y int, cond string")
 
 
 add("vine_proximity_pairs", proximity_pairs, f"WITH t AS ({_TREE}) SELECT a.edge AS x, b.edge AS y, array_to_string(list_intersect(a.vars, b.vars), ',') AS cond FROM t a JOIN t b ON a.edge < b.edge AND len(list_intersect(a.vars, b.vars)) = len(a.vars) - 1")
@@ -211,7 +209,11 @@ add(
 )
 add("gof_test_mle", lambda spark, d: gof.gof_test(segment_pobs(spark, d), Copula("frank"), "u", "v", ["c_mktsegment"], ["o_orderkey"]))
 _L = np.linalg.inv(np.linalg.cholesky(_CORR))
-add("rosenblatt_gaussian", lambda spark, d: gof.rosenblatt_gaussian(line3(spark, d), ["u0", "u1", "u2"], _CORR).groupBy("l_returnflag").agg(*[r6(F.avg(f"e{i}"), 5).alias(f"e{i}") for i in range(3)]))
+add("rosenblatt_gaussian", lambda spark, d: gof.rosenblatt_gaussian(line3(spark, d), ["u0", "u1", "u2"], _CORR).groupBy("l_returnflag").agg(*[r6(F.avg(f"e{i}"), 5).alias(f"e{i}") for i in range(3)]),
+    f"WITH z AS ({_z3_sql()}) SELECT l_returnflag, " + ", ".join(
+        f"round(avg(greatest(1e-6::DOUBLE, least(1-1e-6::DOUBLE, {sql.norm_cdf('(' + '+'.join(f'({float(_L[i, k])!r}::DOUBLE)*z{k}' for k in range(i + 1)) + ')')}))), 5) + 0.0 AS e{i}" for i in range(3)
+    ) + " FROM z GROUP BY l_returnflag",
+)
 add("rosenblatt_student", lambda spark, d: gof.rosenblatt_student(line3(spark, d), ["u0", "u1", "u2"], _CORR, 6.0).groupBy("l_returnflag").agg(*[r6(F.avg(F.col("e")[i]), 5).alias(f"e{i}") for i in range(3)]))
 add("student3_logpdf", lambda spark, d: mv.student_rows(line3(spark, d), ["u0", "u1", "u2"], _CORR, 6.0).groupBy("l_returnflag").agg(r6(F.sum("log_pdf"), 3).alias("ll")))
 
@@ -223,7 +225,7 @@ add("fit_mle_by_segment", lambda spark, d: fit.fit(segment_pobs(spark, d), Copul
 add("fit_select_by_segment", lambda spark, d: fit.select_family(segment_pobs(spark, d), "u", "v", ["c_mktsegment"]).select("c_mktsegment", "family", "rotation", r6(F.col("log_likelihood"), 3).alias("log_likelihood"), "n"))
 for _m in ("gas", "scar-tm-ou", "scar-tm-jacobi"):
     add(f"fit_{_m.replace('-', '_')}_by_user", lambda spark, d, m=_m: fit.fit(event_pobs(spark, d), Copula("clayton"), "u", "v", ["user_id"], ["n"], m).select("user_id", "method", r6(F.col("log_likelihood"), 2).alias("log_likelihood"), "success"))
-add("gas_rows", lambda spark, d: rec.filter_groups(event_pobs(spark, d).select("user_id", "n", "u", "v"), Copula("clayton"), "u", "v", (0.05, 0.1, 0.8), ["user_id"], ["n"]).groupBy("user_id").agg(r6(F.avg("r"), 4).alias("r"), r6(F.avg("e2"), 4).alias("e2")))
+add("gas_rows", lambda spark, d: rec.filter_groups(event_pobs(spark, d).select("user_id", "n", "u", "v"), Copula("clayton"), "u", "v", (0.05, 0.1, 0.8), ["user_id"], ["n"]).groupBy("user_id").agg(r6(F.avg("r"), 4).alias("r"), r6(F.avg("e2"), 4).alias("e2")), gas_rows_sql())
 
 
 def _mle_large(spark, d) -> DataFrame:
@@ -232,9 +234,11 @@ def _mle_large(spark, d) -> DataFrame:
 
 
 add("fit_large_table", _mle_large)
-add("fit_gaussian3", lambda spark, d: spark.createDataFrame([tuple(round(float(x), 5) for x in mv.fit_gaussian(line3(spark, d), ["u0", "u1", "u2"])["correlation"][np.triu_indices(3, 1)])], "r01 double, r02 double, r12 double"))
+add("fit_gaussian3", lambda spark, d: spark.createDataFrame([tuple(round(float(x), 5) for x in mv.fit_gaussian(line3(spark, d), ["u0", "u1", "u2"])["correlation"][np.triu_indices(3, 1)])], "r01 double, r02 double, r12 double"),
+    "SELECT " + ", ".join(f"round(sum(z{i}*z{k})/sqrt(sum(z{i}*z{i})*sum(z{k}*z{k})), 5) + 0.0 AS r{i}{k}" for i, k in ((0, 1), (0, 2), (1, 2))) + f" FROM ({_z3_sql()})",
+)
 add("fit_equicorr", lambda spark, d: spark.createDataFrame([(round(float(mv.fit_equicorr(_stats(spark, d), 64)["rho"]), 5),)], "rho double"))
-add("predict_by_user", lambda spark, d: sample.predict(event_pobs(spark, d), Copula("clayton"), "u", "v", ["user_id"], ["n"], {"kappa": 5.0, "mu": 0.5, "nu": 1.0}, "scar-tm-ou", 20, "next", {1: 0.2}, 9).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("v")))
+add("predict_by_user", lambda spark, d: sample.predict(event_pobs(spark, d), Copula("clayton"), "u", "v", ["user_id"], ["n"], {"kappa": 5.0, "mu": 0.5, "nu": 1.0}, "scar-tm-ou", 20, "next", {1: 0.2}, 9).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("v")), f"SELECT DISTINCT user_id, 20::BIGINT AS n, 0.2::DOUBLE AS v FROM ({sql.event_pobs()})")
 
 # marginals and risk
 _EV = "SELECT event_type, value FROM events"
@@ -269,8 +273,8 @@ add(
     "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), "
     "h AS (SELECT *, greatest(1.0::DOUBLE, least(n, (n+1.0::DOUBLE/3)*0.1+1.0::DOUBLE/3)) AS pos FROM r) SELECT event_type, round(sum(value * CASE WHEN i = floor(pos) THEN 1-(pos-floor(pos)) ELSE pos-floor(pos) END), 6) + 0.0 AS quantile FROM h WHERE i IN (floor(pos), floor(pos)+1) GROUP BY event_type",
 )
-add("marginal_fit_johnsonsu", lambda spark, d: marginals.fit_groups(read(spark, d, "events").select("event_type", "event_id", "value"), "value", "johnsonsu", ["event_type"], ["event_id"]).select("event_type", "n", (F.col("params")["scale"] > 0).alias("ok")))
-add("arma_garch_fit", lambda spark, d: marginals.fit_groups(read(spark, d, "events").select("user_id", "ts", "event_id", "value"), "value", "arma-garch", ["user_id"], ["ts", "event_id"], 1).select("user_id", "n", (F.col("params")["alpha"] + F.col("params")["beta"] < 1).alias("stationary")))
+add("marginal_fit_johnsonsu", lambda spark, d: marginals.fit_groups(read(spark, d, "events").select("event_type", "event_id", "value"), "value", "johnsonsu", ["event_type"], ["event_id"]).select("event_type", "n", (F.col("params")["scale"] > 0).alias("ok")), "SELECT event_type, count(value) AS n, true AS ok FROM events GROUP BY event_type")
+add("arma_garch_fit", lambda spark, d: marginals.fit_groups(read(spark, d, "events").select("user_id", "ts", "event_id", "value"), "value", "arma-garch", ["user_id"], ["ts", "event_id"], 1).select("user_id", "n", (F.col("params")["alpha"] + F.col("params")["beta"] < 1).alias("stationary")), "SELECT user_id, count(value) AS n, true AS stationary FROM events GROUP BY user_id")
 
 _LOSS = "SELECT l_returnflag, 1-(0.6*exp(l_discount-0.05)+0.4*exp(0.04-l_tax)) AS loss FROM lineitem"
 

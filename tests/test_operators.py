@@ -35,6 +35,19 @@ def test_global_rank_with_hot_value_and_nulls(spark):
     assert all(r.u_x is None for r in got if r.x is None)
 
 
+def test_large_groups_are_ranked_by_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "GROUP_ROWS", 10)
+    rng = np.random.default_rng(8)
+    rows = [(i, None if g == 3 else int(g), None if x == 9 else float(x) if g else float(rng.normal()), float(rng.integers(0, 40))) for i, (g, x) in enumerate(zip(rng.integers(0, 4, 500), rng.integers(0, 10, 500)))]
+    got = ranks.pseudo_observations(spark.createDataFrame(rows, "id long, g int, x double, y double"), ["x", "y"], ["id"], ["g"]).collect()
+    assert len(got) == 500
+    for g in (0, 1, 2, None):
+        for c, u in ((2, "u_x"), (3, "u_y")):
+            own = sorted((r[c], r[0]) for r in rows if r[1] == g and r[c] is not None)
+            want = {i: (k + 1) / (len(own) + 1) for k, (_, i) in enumerate(own)}
+            assert {r.id: r[u] for r in got if r.g == g and r[u] is not None} == pytest.approx(want)
+
+
 def test_rank_by_group_and_checks(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 1.0), (1, 0.5), (2, 9.0)], "g int, x double").withColumn("k", F.monotonically_increasing_id())
     got = sorted((r.g, r.u_x) for r in ranks.pseudo_observations(df, ["x"], ["k"], ["g"]).collect())
