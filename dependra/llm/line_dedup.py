@@ -11,8 +11,8 @@ tokens. Lines of recurring templates are dropped from every document but the fir
 (smallest id).
 
 Texts are read once for their lines' digests and stored with a row number; leaves that too few lines share are
-set aside by a bit map. Tokens are taken, as 64-bit hashes, of one line of each kind in the other leaves alone. Keys
-that hold over a thousandth of all occurrences, fewer than a thousand, are joined by broadcast. Only texts that
+set aside by a bit map. Tokens are taken, as 64-bit hashes, of the kinds of line in the other leaves alone, and
+exchanged once, line by line. Keys that hold over a thousandth of all occurrences, fewer than a thousand, are joined by broadcast. Only texts that
 lose lines are exchanged, by row number.
 
 ``copies`` leaves a document as it was if it is a copy of another one, which is for near-duplicate operators
@@ -24,9 +24,9 @@ last. Other columns pass through; those named like a new one are an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ._common import bit_is_set, bitmap_of, bitmap_word, join_by_weight, materialize, refuse_clash, rows_in, table
+from ._common import HOT_ROWS, HOT_SHARE, bit_is_set, bitmap_of, bitmap_word, join_by_weight, materialize, refuse_clash, rows_in, table
 
 DEPTH = 3
 MIN_TOKENS = 3
@@ -69,28 +69,59 @@ def _needed(size: Column, min_docs: int, long_docs: int) -> Column:
     return F.when(size > LONG, min(long_docs, min_docs)).otherwise(min_docs)
 
 
+def _leaf_maps(leaves: DataFrame) -> DataFrame:
+    """A bit map of the ``leaf`` numbers: at most LEAF_BITS / 2**15 rows of 4 KiB."""
+    position = F.col("leaf").bitwiseAND(F.lit(LEAF_BITS - 1))
+    return materialize(leaves.groupBy(bitmap_word(position).alias("__word")).agg(bitmap_of(position).alias("__map")), "leaves")
+
+
+def _in_leaves(rows: DataFrame, maps: DataFrame) -> DataFrame:
+    """The rows whose ``leaf`` is in the bit map, and by a shared bit some more; nothing is exchanged."""
+    position = F.col("leaf").bitwiseAND(F.lit(LEAF_BITS - 1))
+    met = rows.join(F.broadcast(maps), bitmap_word(position) == F.col("__word"))
+    return met.where(bit_is_set(F.col("__map"), position)).drop("__word", "__map")
+
+
 def _shared_leaves(stored: DataFrame, doc_id: str, min_docs: int, long_docs: int) -> DataFrame:
-    """``__row, id, pos, size, line, leaf`` of the lines in leaves of enough lines, and by a shared bit some more."""
+    """``__row, id, pos, size, line, leaf`` of the lines in leaves of enough lines."""
     each = stored.select("__row", F.col(doc_id).alias("id"), F.posexplode("__lines").alias("pos", "x")).select("__row", "id", "pos", "x.*").where("line is not null")
     enough = each.groupBy("size", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= _needed(F.col("size"), min_docs, long_docs))
-    position = F.col("leaf").bitwiseAND(F.lit(LEAF_BITS - 1))
-    maps = materialize(enough.groupBy(bitmap_word(position).alias("__word")).agg(bitmap_of(position).alias("__map")), "leaves")  # at most LEAF_BITS / 2**15 rows of 4 KiB
-    met = each.join(F.broadcast(maps), bitmap_word(position) == F.col("__word")).where(bit_is_set(F.col("__map"), position))
-    return materialize(met.drop("__word", "__map"), "shared")
+    return materialize(_in_leaves(each, _leaf_maps(enough)), "shared")
 
 
 def _templates_of(stored: DataFrame, text: str, lines: DataFrame, similarity: float) -> DataFrame:
-    """``line, template`` of the kinds of line (size, leaf, line, n, rep) of leaves that hold several."""
-    taken = rows_in(stored.select("__row", text), lines.select(F.col("rep.row").alias("__row")))
-    plain = taken.select("__row", F.posexplode(templates(F.col(text))).alias("pos", "plain"))
-    own = lines.select("leaf", "line", "n", F.col("rep.row").alias("__row"), F.col("rep.pos").alias("pos"))
-    tokens = own.join(plain, ["__row", "pos"]).select("leaf", "line", "n", F.posexplode(_tokens(F.col("plain"))).alias("at", "token"))
-    tokens = materialize(tokens.select("leaf", "line", "n", "at", F.xxhash64("token").alias("token")), "tokens")
-    # the count of a token that only one kind of line holds is that line's own
-    often = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("f"), F.count(F.lit(1)).alias("w")).where("w > 1")
-    often = materialize(often, "often")
-    met = join_by_weight(tokens, often, ["leaf", "at", "token"], "w", tokens.count(), "left")
-    each = met.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("at", "token", F.coalesce("f", "n").alias("f")))).alias("x"))
+    """``line, template`` of the kinds of line (leaf, line, n, rep, lines) of leaves that hold several (``lines``).
+
+    Token hashes of a leaf meet in one task, each kind of line sent about once. Leaves of over a thousandth of
+    the kinds, fewer than a thousand, go token by token instead.
+    """
+    taken = rows_in(stored.select("__row", text, F.col("__lines.leaf").alias("leaves"), F.col("__lines.line").alias("digests")), lines.select(F.col("rep.row").alias("__row")))
+    each = taken.select(F.explode(F.arrays_zip(F.col("leaves").alias("leaf"), F.col("digests").alias("line"), templates(F.col(text)).alias("plain"))).alias("x")).select("x.*").where("line is not null")
+    each = _in_leaves(each, _leaf_maps(lines)).select("leaf", "line", F.transform(_tokens(F.col("plain")), lambda t: F.xxhash64(t)).alias("tokens"))
+    total = lines.count()
+    large = (F.col("lines") * HOT_SHARE > total) & (F.col("lines") > HOT_ROWS)
+    hot = lines.where(large).select("leaf").distinct()
+    some = not hot.isEmpty()
+    rest = each.join(F.broadcast(hot), "leaf", "left_anti") if some else each
+    counts = lines.where(~large).select("leaf", "line", F.lit(None).cast("array<bigint>").alias("tokens"), "n")
+    # one exchange, by leaf: what follows groups by more, which this serves too
+    met = rest.withColumn("n", F.lit(None).cast("bigint")).unionByName(counts).repartition("leaf")
+    kinds = met.groupBy("leaf", "line").agg(F.any_value("tokens", True).alias("tokens"), F.max("n").alias("n")).where("n is not null and tokens is not null")
+    places = kinds.select("leaf", "line", "n", F.posexplode("tokens").alias("at", "token"))
+    formed = _formed(places.withColumn("f", F.sum("n").over(Window.partitionBy("leaf", "at", "token"))), similarity)
+    if some:
+        own = lines.where(large).select("leaf", "line", "n").join(each.join(F.broadcast(hot), "leaf", "left_semi").groupBy("leaf", "line").agg(F.any_value("tokens").alias("tokens")), ["leaf", "line"])
+        places = materialize(own.select("leaf", "line", "n", F.posexplode("tokens").alias("at", "token")), "tokens")
+        # the count of a token that only one kind of line holds is that line's own
+        often = places.groupBy("leaf", "at", "token").agg(F.sum("n").alias("f"), F.count(F.lit(1)).alias("w")).where("w > 1")
+        counted = join_by_weight(places, materialize(often, "often"), ["leaf", "at", "token"], "w", places.count(), "left")
+        formed = formed.unionByName(_formed(counted.withColumn("f", F.coalesce("f", "n")), similarity))
+    return formed
+
+
+def _formed(places: DataFrame, similarity: float) -> DataFrame:
+    """``line, template`` from every kind of line's tokens (leaf, line, at, token) and their counts f."""
+    each = places.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("at", "token", "f"))).alias("x"))
     rank = F.ceil(F.size("x") * similarity - 1e-9).cast("int")
     least = F.element_at(F.sort_array(F.col("x.f"), asc=False), rank)
     # bound as an array of one, so that the least count is taken once a line and not once a token

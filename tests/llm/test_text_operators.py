@@ -204,7 +204,9 @@ def brute_lines(docs, copies=None):
     return out
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [10_000, 0])
+def test_line_dedup_against_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", hot)
     rng = random.Random(1)
     names = ["Ann", "Bob", "Eve", "Max"]
     docs = []
