@@ -6,6 +6,7 @@ evaluate many parameters at once (:func:`fit_large`), so the number of passes is
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -129,8 +130,8 @@ def fit_large(df: DataFrame, copula: Copula, u: str, v: str, points: int = 17, p
     """Maximum likelihood over a table of any size: each scan sums the likelihood at ``points`` parameters and narrows
     the bracket; the last is finished by the parabola through its best three points and one more scan.
 
-    The pairs are kept for the scans, on disk where memory is short, unless ``stored`` says that they are. It is a
-    success if the best parameter lies inside the family's bounds."""
+    The pairs are kept for the scans, on disk where memory is short, unless ``stored`` says that they are. The
+    message says whether the best parameter lies at one of the family's bounds."""
     if copula.family == "independence":
         return _result("mle", copula, 0.0, {}, df.count(), True, 1, "no parameter")
     pair = df.select(F.col(u).alias("__u"), F.col(v).alias("__v"))
@@ -168,7 +169,7 @@ def fit_large(df: DataFrame, copula: Copula, u: str, v: str, points: int = 17, p
                 r, ll = float(top), float(best)
     pair.unpersist()
     inside = ends[0] < r < ends[1]
-    return _result("mle", copula, ll, {"r": r}, n, inside, passes + 1, "bracket is small" if inside else "at a bound")
+    return _result("mle", copula, ll, {"r": r}, n, math.isfinite(ll), passes + 1, "bracket is small" if inside else "at a bound")
 
 
 def candidates(tau: float, families: Sequence[str] = tuple(FAMILIES)) -> list[Copula]:
