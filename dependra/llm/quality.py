@@ -30,7 +30,7 @@ SHARPNESS = 8.0  #: power of the similarity in a vote
 THRESHOLD = 0.7
 BLOCK = 256
 ITERATIONS = 24
-CACHE = 200_000
+CACHE = 100_000  #: tokens that a worker remembers
 
 
 def shape(token: str) -> str:

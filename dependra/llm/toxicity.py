@@ -31,7 +31,7 @@ LEAST = 3  #: documents that a table entry needs
 DRIFT = 1.0  #: taken off every token, so that ordinary text scores below zero
 FOLDS = 4  #: parts of the sample; law and curve are fitted on texts that the table in use has not seen
 SAMPLE = 20_000  #: most labelled rows that are learned from: they bound the table of every model too
-CACHE = 300_000
+CACHE = 100_000  #: tokens that a worker remembers, of all models that it uses at a time
 _EDGE = string.punctuation + "«»“”„‘’…–—¡¿"
 
 
@@ -85,11 +85,11 @@ def maximal_segments(scores) -> list[tuple[int, int, float]]:
 class TokenScores(dict):
     """Scores of tokens seen lately; cleared when full."""
 
-    def __init__(self, rule):
-        self.rule = rule
+    def __init__(self, rule, most):
+        self.rule, self.most = rule, most
 
     def __missing__(self, token):
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.clear()
         s = self.rule(token)
         if len(token) <= LONGEST_CACHED:
@@ -108,9 +108,10 @@ class ToxicityModel:
     log_k: float = 0.0
     curve: tuple[float, float] = (0.0, 0.0)
     significant: float = math.log(100.0)  # an E-value of 0.01
+    cache: int = CACHE
 
     def __post_init__(self):
-        self._seen = TokenScores(self.token_score)
+        self._seen = TokenScores(self.token_score, self.cache)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_seen"}
@@ -276,7 +277,7 @@ def fit(sample: DataFrame) -> ToxicityModel:
         return log_odds(levels, parents, grid[:, seen].sum(1), *(totals[:, seen].sum(1) + 0.5))
 
     model.index, model.odds = index, table(list(range(FOLDS)))
-    apart = [ToxicityModel(index, table([k for k in range(FOLDS) if k != f])) for f in range(FOLDS)]
+    apart = [ToxicityModel(index, table([k for k in range(FOLDS) if k != f]), cache=CACHE // FOLDS) for f in range(FOLDS)]
     cast = spark.sparkContext.broadcast(apart)
     rows = sample.select("text", "y", "fold")
     seen = rows.mapInArrow(lambda it: _observe(cast, it), "y int, n long, best double, hist array<long>").collect()
