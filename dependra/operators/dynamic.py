@@ -148,39 +148,86 @@ class MovingEdge:
         return (w * a).sum(1), (w * b).sum(1)
 
 
-def fit_vine(u: np.ndarray, structure: str | Vine = "r", method: str = "mle", truncation: int | None = None, threshold: float = 0.0, min_log_likelihood: float | None = None) -> list[MovingEdge]:
+@dataclass
+class _Partial:
+    """A vine that has grown up to some tree."""
+
+    values: dict
+    below: list[Edge]
+    edges: list[MovingEdge]
+    leads: bool = True  # the given variables are a vine of their own in it, so they can come first
+
+    @property
+    def score(self) -> float:
+        return sum(m.edge.log_likelihood for m in self.edges)
+
+
+#: What an edge among given variables counts more than its |tau|: before all others, somewhat, not.
+BONUSES = (2.0, 0.25, 0.0)
+
+
+def fit_vine(
+    u: np.ndarray, structure: str | Vine = "r", method: str = "mle", truncation: int | None = None, threshold: float = 0.0, min_log_likelihood: float | None = None,
+    given: Sequence[int] = (), width: int = 4,
+) -> list[MovingEdge]:
     """Tree by tree in one series: families by AIC, edges by ``method``; edges under the threshold, beyond the
-    truncation or of too small a likelihood are independent."""
-    d = u.shape[1]
+    truncation or of too small a likelihood are independent.
+
+    With ``given`` variables the structure is searched: each tree is grown with three preferences for edges among
+    them, the ``width`` likeliest partial vines go on, one in which the given variables can come first among them,
+    and the likeliest of those wins.
+    """
+    d, want = u.shape[1], frozenset(given)
     shape = structure if isinstance(structure, Vine) else {"c": c_vine, "d": d_vine}.get(structure, lambda _: None)(d)
-    values = {(i, frozenset()): u[:, i] for i in range(d)}
-    below: list[Edge] = []
-    out: list[MovingEdge] = []
+    fits: dict = {}
+
+    def fitted(e: Edge, a: np.ndarray, b: np.ndarray, tau: float, level: int) -> tuple[MovingEdge, tuple]:
+        if (e.key, id(a), id(b)) in fits:
+            return fits[(e.key, id(a), id(b))]
+        copula, how, params, ll = Copula("independence"), "mle", {}, 0.0
+        if not (truncation is not None and level >= truncation) and abs(tau) >= threshold:
+            top = select_arrays(a, b)
+            if top["family"] != "independence":
+                c = Copula(top["family"], top["rotation"])
+                m = "mle" if method == "scar-tm-jacobi" and not c.base.positive else method
+                got = fit_arrays(c, a, b, m)
+                if min_log_likelihood is None or got["log_likelihood"] >= min_log_likelihood:
+                    copula, how, params, ll = c, m, got["params"], got["log_likelihood"]
+        edge = MovingEdge(Edge(e.a, e.b, e.cond, copula, params.get("r", 0.0), tau, ll), how, params)
+        fits[(e.key, id(a), id(b))] = out = edge, edge.h_pair(a, b)
+        held.extend((a, b))
+        return out
+
+    held: list[np.ndarray] = []  # arrays whose identity is a key stay alive
+    beam = [_Partial({(i, frozenset()): u[:, i] for i in range(d)}, [], [])]
+    for i in range(d):
+        held.append(beam[0].values[(i, frozenset())])
     for level in range(d - 1):
-        pool = [(i, j, Edge(i, j)) for i in range(d) for j in range(i + 1, d)] if level == 0 else next_candidates(below)
-        if shape is not None:
-            wanted = {(frozenset((e.a, e.b)), e.cond) for e in shape.tree(level)}
-            pool = [k for k in pool if (frozenset((k[2].a, k[2].b)), k[2].cond) in wanted]
-        taus = {k[2]: kendall_tau(values[(k[2].a, k[2].cond)], values[(k[2].b, k[2].cond)]) for k in pool}
-        tree = spanning_tree([(abs(taus[e]), i, j, e) for i, j, e in pool], d if level == 0 else len(below), d - 1 - level)
-        below = []
-        for e in tree:
-            a, b = values[(e.a, e.cond)], values[(e.b, e.cond)]
-            copula, how, params, ll = Copula("independence"), "mle", {}, 0.0
-            if not (truncation is not None and level >= truncation) and abs(taus[e]) >= threshold:
-                top = select_arrays(a, b)
-                if top["family"] != "independence":
-                    c = Copula(top["family"], top["rotation"])
-                    m = "mle" if method == "scar-tm-jacobi" and not c.base.positive else method
-                    got = fit_arrays(c, a, b, m)
-                    if min_log_likelihood is None or got["log_likelihood"] >= min_log_likelihood:
-                        copula, how, params, ll = c, m, got["params"], got["log_likelihood"]
-            edge = MovingEdge(Edge(e.a, e.b, e.cond, copula, params.get("r", 0.0), taus[e], ll), how, params)
-            out.append(edge)
-            below.append(edge.edge)
-            h_ab, h_ba = edge.h_pair(a, b)
-            values[(e.a, e.cond | {e.b})], values[(e.b, e.cond | {e.a})] = h_ab, h_ba
-    return out
+        grown: dict = {}
+        for part in beam:
+            pool = [(i, j, Edge(i, j)) for i in range(d) for j in range(i + 1, d)] if level == 0 else next_candidates(part.below)
+            if shape is not None:
+                wanted = {(frozenset((e.a, e.b)), e.cond) for e in shape.tree(level)}
+                pool = [k for k in pool if (frozenset((k[2].a, k[2].b)), k[2].cond) in wanted]
+            taus = {k[2]: kendall_tau(part.values[(k[2].a, k[2].cond)], part.values[(k[2].b, k[2].cond)]) for k in pool}
+            for bonus in BONUSES if want and shape is None else (0.0,):
+                weighted = [(abs(taus[e]) + bonus * (e.variables <= want), i, j, e) for i, j, e in pool]
+                tree = spanning_tree(weighted, d if level == 0 else len(part.below), d - 1 - level)
+                mark = frozenset(m.edge.key for m in part.edges) | {e.key for e in tree}
+                if mark in grown:
+                    continue
+                new = _Partial(dict(part.values), [], list(part.edges), part.leads and sum(e.variables <= want for e in tree) == max(0, len(want) - 1 - level))
+                for e in tree:
+                    edge, (h_ab, h_ba) = fitted(e, part.values[(e.a, e.cond)], part.values[(e.b, e.cond)], taus[e], level)
+                    new.edges.append(edge)
+                    new.below.append(edge.edge)
+                    new.values[(e.a, e.cond | {e.b})], new.values[(e.b, e.cond | {e.a})] = h_ab, h_ba
+                grown[mark] = new
+        ranked = sorted(grown.values(), key=lambda p: -p.score)
+        beam = ranked[:width]
+        if not any(p.leads for p in beam):
+            beam[-1:] = [p for p in ranked if p.leads][:1] or beam[-1:]
+    return min(beam, key=lambda p: (not p.leads, -p.score)).edges
 
 
 def fit_vines(df: DataFrame, columns: Sequence[str], by: Sequence[str], order: Sequence[str], structure: str = "r", method: str = "mle", truncation: int | None = None) -> DataFrame:

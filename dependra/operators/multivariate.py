@@ -86,19 +86,34 @@ def _apply(policy: CorrelationPolicy, base: np.ndarray, value) -> np.ndarray:
     return base
 
 
-def student_log_pdf(u: np.ndarray, corr: np.ndarray, df) -> np.ndarray:
-    """Rows of a Student copula density; ``df`` is a number or one for each row."""
+def student_log_pdf(u: np.ndarray, corr: np.ndarray | FactorCorrelation, df) -> np.ndarray:
+    """Rows of a Student copula density; ``df`` is a number or one for each row. Factors cost O(d k) a row and no dense matrix."""
     df = np.broadcast_to(np.asarray(df, float), (len(u),))
     x = special.t_ppf(u, df[:, None])
     d = u.shape[1]
-    q = np.einsum("ti,ij,tj->t", x, np.linalg.inv(corr), x)
-    joint = special.lgamma((df + d) / 2) - special.lgamma(df / 2) - d / 2 * np.log(df * np.pi) - 0.5 * np.linalg.slogdet(corr)[1] - (df + d) / 2 * np.log1p(q / df)
+    if isinstance(corr, FactorCorrelation):
+        q, log_det = (x * corr.solve(x.T).T).sum(1), corr.logdet()
+    else:
+        q, log_det = np.einsum("ti,ij,tj->t", x, np.linalg.inv(corr), x), np.linalg.slogdet(corr)[1]
+    joint = special.lgamma((df + d) / 2) - special.lgamma(df / 2) - d / 2 * np.log(df * np.pi) - 0.5 * log_det - (df + d) / 2 * np.log1p(q / df)
     return joint - special.t_logpdf(x, df[:, None]).sum(1)
 
 
-def student_rows(df: DataFrame, columns: Sequence[str], corr: np.ndarray, dof: float | str, name: str = "log_pdf") -> DataFrame:
+def student_slope(u: np.ndarray, corr: np.ndarray | FactorCorrelation, df, step: float = 1e-4) -> np.ndarray:
+    """Rows' derivative of the log-density in the degrees of freedom, by a central difference in their logarithm."""
+    df = np.broadcast_to(np.asarray(df, float), (len(u),))
+    high, low = df * np.exp(step), df * np.exp(-step)
+    return (student_log_pdf(u, corr, high) - student_log_pdf(u, corr, low)) / (high - low)
+
+
+def student_grid(u: np.ndarray, corr: np.ndarray | FactorCorrelation, grid: Sequence[float]) -> np.ndarray:
+    """Log-densities of all rows (down) at several degrees of freedom (across)."""
+    return np.column_stack([student_log_pdf(u, corr, float(g)) for g in grid])
+
+
+def student_rows(df: DataFrame, columns: Sequence[str], corr: np.ndarray | FactorCorrelation, dof: float | str, name: str = "log_pdf") -> DataFrame:
     """``df`` with the Student log-density; ``dof`` is a number or a column of a row's degrees of freedom."""
-    corr = np.asarray(corr, float)
+    corr = corr if isinstance(corr, FactorCorrelation) else np.asarray(corr, float)
 
     @F.pandas_udf("double")
     def apply(u: pd.DataFrame) -> pd.Series:
@@ -210,7 +225,8 @@ class FactorCorrelation:
         return np.eye(self.loadings.shape[1]) + self.loadings.T @ (self.loadings / self.uniqueness[:, None])
 
     def solve(self, x: np.ndarray) -> np.ndarray:
-        y = x / self.uniqueness
+        """R^-1 x of a vector, or of every column of a matrix."""
+        y = (x.T / self.uniqueness).T
         return y - (self.loadings / self.uniqueness[:, None]) @ np.linalg.solve(self._core(), self.loadings.T @ y)
 
     def logdet(self) -> float:
@@ -268,28 +284,33 @@ def randomized_factors(df: DataFrame, array: str, d: int, rank: int, rounds: int
 
 
 # sampling
-def sample_correlated(n: int, corr: np.ndarray, rng: np.random.Generator, df: float | None = None, given: dict[int, float] | None = None) -> np.ndarray:
-    """Rows of a Gaussian (or with ``df`` Student) copula; ``given`` fixes coordinates in u-space exactly."""
+def sample_correlated(n: int, corr: np.ndarray, rng: np.random.Generator, df: float | np.ndarray | None = None, given: dict[int, float] | None = None) -> np.ndarray:
+    """Rows of a Gaussian (or with ``df`` Student) copula; ``given`` fixes coordinates in u-space exactly.
+
+    ``df`` is a number or one for each row, as along a path of moving degrees of freedom.
+    """
     corr = np.asarray(corr, float)
     d = len(corr)
     given = given or {}
     fixed, free = sorted(given), [i for i in range(d) if i not in given]
     out = np.empty((n, d))
+    df = None if df is None else np.broadcast_to(np.asarray(df, float), (n,))
+    mean, cov, scale = np.zeros(d), corr, np.ones(n)
     if fixed:
-        g = np.array([given[i] for i in fixed])
-        z = special.norm_ppf(g) if df is None else special.t_ppf(g, df)
-        a = np.linalg.solve(corr[np.ix_(fixed, fixed)], corr[np.ix_(fixed, free)]).T
-        mean, cov = a @ z, corr[np.ix_(free, free)] - a @ corr[np.ix_(fixed, free)]
-        scale = 1.0 if df is None else (df + z @ np.linalg.solve(corr[np.ix_(fixed, fixed)], z)) / (df + len(fixed))
-    else:
-        mean, cov, scale = np.zeros(d), corr, 1.0
+        g = np.broadcast_to([given[i] for i in fixed], (n, len(fixed)))
+        z = special.norm_ppf(g) if df is None else special.t_ppf(g, df[:, None])
+        inner = np.linalg.inv(corr[np.ix_(fixed, fixed)])
+        a = inner @ corr[np.ix_(fixed, free)]
+        mean, cov = z @ a, corr[np.ix_(free, free)] - a.T @ corr[np.ix_(fixed, free)]
+        if df is not None:
+            scale = (df + np.einsum("ti,ij,tj->t", z, inner, z)) / (df + len(fixed))
     if free:
-        x = rng.standard_normal((n, len(free))) @ np.linalg.cholesky(nearest_psd(cov) * scale).T
+        x = rng.standard_normal((n, len(free))) @ np.linalg.cholesky(nearest_psd(cov)).T
         if df is not None:
             k = df + len(fixed)
-            x = x / np.sqrt(rng.chisquare(k, n) / k)[:, None]
+            x = x * np.sqrt(scale * k / rng.chisquare(k))[:, None]
         x = x + mean
-        out[:, free] = np.clip(special.norm_cdf(x) if df is None else special.t_cdf(x, df), s.DRAW_EPS, 1 - s.DRAW_EPS)
+        out[:, free] = np.clip(special.norm_cdf(x) if df is None else special.t_cdf(x, df[:, None]), s.DRAW_EPS, 1 - s.DRAW_EPS)
     for i in fixed:
         out[:, i] = given[i]
     return out

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -36,6 +37,10 @@ class Edge:
     def variables(self) -> frozenset[int]:
         return self.cond | {self.a, self.b}
 
+    @property
+    def key(self) -> tuple[int, int, frozenset[int]]:
+        return self.a, self.b, self.cond
+
 
 @dataclass(frozen=True)
 class Vine:
@@ -55,12 +60,15 @@ class Vine:
 
     def find(self, x: int, given: frozenset[int]) -> tuple[Edge, int]:
         """The edge whose copula gives x given ``given``, and x's partner in it."""
+        return self._partners[(x, given)]
+
+    @cached_property
+    def _partners(self) -> dict[tuple[int, frozenset[int]], tuple[Edge, int]]:
+        out: dict = {}
         for e in self.edges:
-            if e.a == x and e.variables == given | {x}:
-                return e, e.b
-            if e.b == x and e.variables == given | {x}:
-                return e, e.a
-        raise KeyError((x, given))
+            out.setdefault((e.a, e.cond | {e.b}), (e, e.b))
+            out.setdefault((e.b, e.cond | {e.a}), (e, e.a))
+        return out
 
     def order(self, first: Sequence[int] = ()) -> list[int] | None:
         """Variables so that each one's edges to all earlier ones are in the vine; ``first`` come first, if they can."""
@@ -79,18 +87,18 @@ class Vine:
                             return rest + [x]
             return None
 
-        return peel(frozenset(range(self.d)), self.complete().edges)
+        return peel(frozenset(range(self.d)), self.complete(first).edges)
 
-    def complete(self) -> Vine:
-        """The vine with independent edges in place of truncated trees."""
-        edges = list(self.edges)
+    def complete(self, first: Sequence[int] = ()) -> Vine:
+        """The vine with independent edges in place of truncated trees; where there is a choice, ``first`` can come first."""
+        edges, want = list(self.edges), frozenset(first)
         for level in range(self.d - 1):
             have = [e for e in edges if len(e.cond) == level]
             if len(have) == self.d - 1 - level:
                 continue
             below = [e for e in edges if len(e.cond) == level - 1]
             pool = [k for k in next_candidates(below)]
-            edges += spanning_tree([(0.0, x, y, e) for x, y, e in pool], len(below), self.d - 1 - level)
+            edges += spanning_tree([(float(e.variables <= want), x, y, e) for x, y, e in pool], len(below), self.d - 1 - level)
         return Vine(self.d, tuple(edges))
 
     def matrix(self) -> np.ndarray:
@@ -170,20 +178,23 @@ def name(x: int, given: frozenset[int]) -> str:
 
 
 class Values:
-    """Columns (or arrays) of variables given sets, made when first asked for."""
+    """Columns (or arrays) of variables given sets, made when first asked for. ``r`` holds parameters that edges take in place of their own."""
 
-    def __init__(self, vine: Vine, m, known: dict):
-        self.vine, self.m, self.known = vine, m, dict(known)
+    def __init__(self, vine: Vine, m, known: dict, r: dict | None = None):
+        self.vine, self.m, self.known, self.r = vine, m, dict(known), r or {}
         self.steps: list[tuple[str, object]] = []
         self.keep: Callable | None = None
 
+    def param(self, e: Edge):
+        return self.r[e.key] if e.key in self.r else self.m.of(e.r)
+
     def get(self, x: int, given: frozenset[int] = frozenset()):
         key = (x, given)
         if key not in self.known:
             e, y = self.vine.find(x, given)
             below = given - {y}
             c = e.copula if e.a == x else e.copula.transposed()
-            self.put(x, given, c.h(self.m, self.get(x, below), self.get(y, below), self.m.of(e.r)))
+            self.put(x, given, c.h(self.m, self.get(x, below), self.get(y, below), self.param(e)))
         return self.known[key]
 
     def put(self, x: int, given: frozenset[int], value) -> None:
@@ -241,7 +252,7 @@ def _sample(values: Values, order: list[int], uniforms: dict, given: dict) -> No
             e, y = values.vine.find(x, have)
             below = have - {y}
             c = e.copula if e.a == x else e.copula.transposed()
-            values.put(x, below, c.h_inv(values.m, now, values.get(y, below), values.m.of(e.r)))
+            values.put(x, below, c.h_inv(values.m, now, values.get(y, below), values.param(e)))
             now, have = values.known[(x, below)], below
 
 
@@ -251,8 +262,8 @@ def sample_columns(df: DataFrame, uniforms: Sequence[str], vine: Vine, prefix: s
     Exact when the given variables can come first in an order of the vine; otherwise refused, and
     :func:`sample_mcmc` is the way.
     """
-    full = vine.complete()
     given = given or {}
+    full = vine.complete(tuple(given))
     order = full.order(tuple(given))
     if order is None or set(order[: len(given)]) != set(given):
         raise ValueError("these variables cannot come first in an order of the vine; use sample_mcmc")
@@ -263,39 +274,40 @@ def sample_columns(df: DataFrame, uniforms: Sequence[str], vine: Vine, prefix: s
     return _run(df, steps).withColumns(out).drop(*[k for k, _ in steps])
 
 
-def sample_arrays(vine: Vine, w: np.ndarray, given: dict[int, float] | None = None) -> np.ndarray:
-    full = vine.complete()
+def sample_arrays(vine: Vine, w: np.ndarray, given: dict[int, float] | None = None, r: dict | None = None) -> np.ndarray:
+    """Draws from rows of uniforms; ``r`` may hold an edge's parameter of every row, by ``Edge.key``."""
     given = given or {}
+    full = vine.complete(tuple(given))
     order = full.order(tuple(given))
     if order is None or set(order[: len(given)]) != set(given):
         raise ValueError("these variables cannot come first in an order of the vine; use sample_mcmc")
-    values = Values(full, num, {})
+    values = Values(full, num, {}, r)
     _sample(values, order, {i: w[:, i] for i in range(vine.d)}, {k: np.full(len(w), float(v)) for k, v in given.items()})
     return np.column_stack([values.known[(x, frozenset())] for x in range(vine.d)])
 
 
-def log_pdf_arrays(vine: Vine, u: np.ndarray) -> np.ndarray:
-    values = Values(vine, num, {(i, frozenset()): u[:, i] for i in range(vine.d)})
+def log_pdf_arrays(vine: Vine, u: np.ndarray, r: dict | None = None) -> np.ndarray:
+    values = Values(vine, num, {(i, frozenset()): u[:, i] for i in range(vine.d)}, r)
     out = np.zeros(len(u))
     for e in vine.edges:
         if e.copula.family != "independence":
-            out += e.copula.log_pdf(num, values.get(e.a, e.cond), values.get(e.b, e.cond), e.r)
+            out += e.copula.log_pdf(num, values.get(e.a, e.cond), values.get(e.b, e.cond), values.param(e))
     return out
 
 
-def sample_mcmc(vine: Vine, n: int, given: dict[int, float], rng: np.random.Generator, steps: int | None = None) -> tuple[np.ndarray, float]:
+def sample_mcmc(vine: Vine, n: int, given: dict[int, float], rng: np.random.Generator, steps: int | None = None, r: dict | None = None) -> tuple[np.ndarray, float]:
     """Metropolis within Gibbs on the free coordinates with uniform proposals: n chains side by side, last states, acceptance."""
     free = [i for i in range(vine.d) if i not in given]
     steps = steps or max(80, 30 * len(free)) + max(40, 10 * len(free))
     u = rng.uniform(size=(n, vine.d))
     for i, v in given.items():
         u[:, i] = v
-    now, taken = log_pdf_arrays(vine, u), 0
+    now, taken = log_pdf_arrays(vine, u, r), 0
     for _ in range(steps):
         for i in free:
             new = u.copy()
             new[:, i] = rng.uniform(size=n)
-            ll = log_pdf_arrays(vine, new)
+            ll = log_pdf_arrays(vine, new, r)
             yes = np.log(rng.uniform(size=n)) < ll - now
             u[yes], now = new[yes], np.where(yes, ll, now)
             taken += int(yes.sum())
@@ -304,15 +316,16 @@ def sample_mcmc(vine: Vine, n: int, given: dict[int, float], rng: np.random.Gene
 
 def fit(
     df: DataFrame, columns: Sequence[str], structure: str | Vine = "r", families: Sequence[str] = ("clayton", "frank", "gumbel", "joe", "gaussian"),
-    truncation: int | None = None, threshold: float = 0.0, keep: int = 3,
+    truncation: int | None = None, threshold: float = 0.0, keep: int = 3, given: Sequence[int] = (),
 ) -> Vine:
     """Tree by tree: candidate edges by the proximity condition, weights |tau|, a maximum spanning tree (or the
     given structure), and for each edge the family of smallest AIC after screening.
 
     One job computes all taus of a level and one more per edge and scan its likelihoods; the frame grows by
-    the columns of the level's conditional values.
+    the columns of the level's conditional values. Edges among ``given`` variables go before all others, so these can
+    come first in an order of the vine and :func:`sample_columns` draws exactly given them.
     """
-    d = len(columns)
+    d, want = len(columns), frozenset(given)
     base = df.select(*[F.col(c).alias(f"__u{i}") for i, c in enumerate(columns)])
     names = [f"__u{i}" for i in range(d)]
     shape = structure if isinstance(structure, Vine) else {"c": c_vine, "d": d_vine}.get(structure, lambda _: None)(d)
@@ -338,7 +351,7 @@ def fit(
         pairs = [(F.col(f"__p{i}0"), F.col(f"__p{i}1")) for i in range(len(pool))]
         row = frame.agg(*[kendall_tau_agg(x, y).alias(f"t{i}") for i, (x, y) in enumerate(pairs)]).first()
         taus = [float(row[f"t{i}"] or 0.0) for i in range(len(pool))]
-        tree = spanning_tree([(abs(t), x, y, e) for t, (x, y, e) in zip(taus, pool)], d if level == 0 else len(below), d - 1 - level)
+        tree = spanning_tree([(abs(t) + (2.0 if e.variables <= want else 0.0), x, y, e) for t, (x, y, e) in zip(taus, pool)], d if level == 0 else len(below), d - 1 - level)
         at = {(e.a, e.b, e.cond): i for i, (_, _, e) in enumerate(pool)}
         below = []
         for e in tree:
