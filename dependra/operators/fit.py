@@ -63,7 +63,7 @@ def mle(copula: Copula, u, v) -> dict:
     grid = np.linspace(lo, hi, 25) if copula.family == "gaussian" else lo + np.geomspace(1e-3, hi - lo, 25)
     values = [f(r) for r in grid]
     i = int(np.argmin(values))
-    best = golden(f, grid[max(0, i - 1)], grid[min(24, i + 1)])
+    best = golden(f, grid[i - 1] if i else lo, grid[min(24, i + 1)])
     return _result("mle", copula, -best.value, {"r": best.x[0]}, len(u), best.success, best.evaluations + 25, best.message)
 
 
@@ -147,7 +147,7 @@ def fit_large(df: DataFrame, copula: Copula, u: str, v: str, points: int = 17, p
         return row["n"], [row[f"s{i}"] for i in range(len(grid))]
 
     lo, hi = _bounds(copula)
-    grid = np.linspace(lo, hi, points) if copula.family == "gaussian" else lo + np.geomspace(1e-3, hi - lo, points)
+    grid = np.linspace(lo, hi, points) if copula.family == "gaussian" else np.append(lo, lo + np.geomspace(1e-3, hi - lo, points - 1))
     ends = grid[0], grid[-1]
     n, values = scan(grid)
     if n == 0:

@@ -216,12 +216,36 @@ add("rosenblatt_gaussian", lambda spark, d: gof.rosenblatt_gaussian(line3(spark,
 )
 add("rosenblatt_student", lambda spark, d: gof.rosenblatt_student(line3(spark, d), ["u0", "u1", "u2"], _CORR, 6.0).groupBy("l_returnflag").agg(*[r6(F.avg(F.col("e")[i]), 5).alias(f"e{i}") for i in range(3)]))
 add("student3_logpdf", lambda spark, d: mv.student_rows(line3(spark, d), ["u0", "u1", "u2"], _CORR, 6.0).groupBy("l_returnflag").agg(r6(F.sum("log_pdf"), 3).alias("ll")))
+# the same with four degrees of freedom, whose quantile has a closed form
+_X4 = "SELECT l_returnflag, u0, " + ", ".join(f"{sql.t4_ppf(f'u{i}')} AS x{i}" for i in range(3)) + f" FROM ({_line3_sql()})"
+
+
+def _quadratic_sql(m: np.ndarray) -> str:
+    return "(" + "+".join(f"({float(m[i, k])!r}::DOUBLE)*x{i}*x{k}" for i in range(len(m)) for k in range(len(m))) + ")"
+
+
+def _given_sql(i: int, dof: int = 4) -> str:
+    """Coordinate i of a Student law given those before it."""
+    block, side = _CORR[:i, :i], _CORR[:i, i]
+    a = np.linalg.solve(block, side)
+    spread = f"sqrt(({dof}+{_quadratic_sql(np.linalg.inv(block))})/{dof + i}.0*{float(1 - side @ a)!r}::DOUBLE)"
+    return sql.t_cdf(f"(x{i}-" + "-".join(f"({float(a[k])!r}::DOUBLE)*x{k}" for k in range(i)) + f")/{spread}", dof + i)
+
+
+_T4_CONSTANT = math.lgamma(3.5) - 3 * math.lgamma(2.5) + 2 * math.lgamma(2.0) - 0.5 * math.log(np.linalg.det(_CORR))
+add("student3_logpdf_df4", lambda spark, d: mv.student_rows(line3(spark, d), ["u0", "u1", "u2"], _CORR, 4.0).groupBy("l_returnflag").agg(r6(F.sum("log_pdf"), 3).alias("ll")),
+    f"SELECT l_returnflag, round(sum({_T4_CONSTANT!r}::DOUBLE - 3.5*ln(1+{_quadratic_sql(np.linalg.inv(_CORR))}/4) + 2.5*(" + "+".join(f"ln(1+x{i}*x{i}/4)" for i in range(3)) + f")), 3) + 0.0 AS ll FROM ({_X4}) GROUP BY l_returnflag",
+)
+add("rosenblatt_student_df4", lambda spark, d: gof.rosenblatt_student(line3(spark, d), ["u0", "u1", "u2"], _CORR, 4.0).groupBy("l_returnflag").agg(*[r6(F.avg(F.col("e")[i]), 5).alias(f"e{i}") for i in range(3)]),
+    f"SELECT l_returnflag, round(avg(u0), 5) + 0.0 AS e0, " + ", ".join(f"round(avg(greatest(1e-6::DOUBLE, least(1-1e-6::DOUBLE, {_given_sql(i)}))), 5) + 0.0 AS e{i}" for i in (1, 2)) + f" FROM ({_X4}) GROUP BY l_returnflag",
+)
 
 
 add("gof_bootstrap", lambda spark, d: gof.bootstrap_groups(_part_pobs(spark, d), Copula("frank"), "u", "v", ["p_brand"], ["p_partkey"], 39, 5))
 
 # estimators by group
-add("fit_mle_by_segment", lambda spark, d: fit.fit(segment_pobs(spark, d), Copula("frank"), "u", "v", ["c_mktsegment"], ["o_orderkey"], "mle").select("c_mktsegment", "family", r6(F.col("params")["r"], 3).alias("r"), r6(F.col("log_likelihood"), 3).alias("log_likelihood"), "n"))
+add("fit_mle_by_segment", lambda spark, d: fit.fit(segment_pobs(spark, d), Copula("frank"), "u", "v", ["c_mktsegment"], ["o_orderkey"], "mle").select("c_mktsegment", "family", r6(F.col("params")["r"], 3).alias("r"), r6(F.col("log_likelihood"), 3).alias("log_likelihood"), "n"),
+    f"SELECT c_mktsegment, 'frank' AS family, round(r, 3) + 0.0 AS r, round(ll, 3) + 0.0 AS log_likelihood, n FROM ({sql.frank_mle(sql.segment_pobs(), 'c_mktsegment')})")
 add("fit_select_by_segment", lambda spark, d: fit.select_family(segment_pobs(spark, d), "u", "v", ["c_mktsegment"]).select("c_mktsegment", "family", "rotation", r6(F.col("log_likelihood"), 3).alias("log_likelihood"), "n"))
 for _m in ("gas", "scar-tm-ou", "scar-tm-jacobi"):
     add(f"fit_{_m.replace('-', '_')}_by_user", lambda spark, d, m=_m: fit.fit(event_pobs(spark, d), Copula("clayton"), "u", "v", ["user_id"], ["n"], m).select("user_id", "method", r6(F.col("log_likelihood"), 2).alias("log_likelihood"), "success"))
@@ -233,11 +257,14 @@ def _mle_large(spark, d) -> DataFrame:
     return spark.createDataFrame([(got["family"], round(got["params"]["r"], 4), round(got["log_likelihood"], 3), got["n"], got["success"])], "family string, r double, log_likelihood double, n long, success boolean")
 
 
-add("fit_large_table", _mle_large)
+add("fit_large_table", _mle_large,
+    f"SELECT 'frank' AS family, round(r, 4) + 0.0 AS r, round(ll, 3) + 0.0 AS log_likelihood, n, true AS success FROM ({sql.frank_mle(f'SELECT 1 AS one, u, v FROM ({sql.lineitem_pobs()})', 'one')})")
 add("fit_gaussian3", lambda spark, d: spark.createDataFrame([tuple(round(float(x), 5) for x in mv.fit_gaussian(line3(spark, d), ["u0", "u1", "u2"])["correlation"][np.triu_indices(3, 1)])], "r01 double, r02 double, r12 double"),
     "SELECT " + ", ".join(f"round(sum(z{i}*z{k})/sqrt(sum(z{i}*z{i})*sum(z{k}*z{k})), 5) + 0.0 AS r{i}{k}" for i, k in ((0, 1), (0, 2), (1, 2))) + f" FROM ({_z3_sql()})",
 )
-add("fit_equicorr", lambda spark, d: spark.createDataFrame([(round(float(mv.fit_equicorr(_stats(spark, d), 64)["rho"]), 5),)], "rho double"))
+add("fit_equicorr", lambda spark, d: spark.createDataFrame([(round(float(mv.fit_equicorr(_stats(spark, d), 64)["rho"]), 5),)], "rho double"),
+    f"WITH t AS (SELECT count(*) AS n, sum(s2) AS b, sum(s1*s1) AS a FROM ({_STATS})), g AS (SELECT (i*1e-6-0.015)::DOUBLE AS rho FROM range(1014000) t(i)) "
+    "SELECT round(arg_max(rho, -n*(63*ln(1-rho)+ln(1+63*rho))-(rho/(1-rho)*b-rho/((1-rho)*(1+63*rho))*a)), 5) + 0.0 AS rho FROM t, g")
 add("predict_by_user", lambda spark, d: sample.predict(event_pobs(spark, d), Copula("clayton"), "u", "v", ["user_id"], ["n"], {"kappa": 5.0, "mu": 0.5, "nu": 1.0}, "scar-tm-ou", 20, "next", {1: 0.2}, 9).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("v")), f"SELECT DISTINCT user_id, 20::BIGINT AS n, 0.2::DOUBLE AS v FROM ({sql.event_pobs()})")
 
 # marginals and risk
@@ -330,6 +357,29 @@ add("fit_equicorr_mle_by_user", _dynamic("equicorr", "mle"))
 add("fit_equicorr_gas_by_user", _dynamic("equicorr", "gas"))
 add("fit_equicorr_scar_by_user", _dynamic("equicorr", "scar-tm-ou"))
 add("fit_vines_gas_by_user", _dynamic_vines)
+
+
+def _predict_vines(spark, d) -> DataFrame:
+    from ..operators import moving
+
+    got = moving.predict_vines(_triples(spark, d), _EV3, ["user_id"], ["event_id"], 30, given={0: 0.3, 2: 0.6}, seed=4)
+    return got.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("x0").alias("x0"), F.min("x2").alias("x2"), (F.countDistinct("x1") == 30).alias("drawn"), ((F.min("x1") > 0) & (F.max("x1") < 1)).alias("inside"))
+
+
+def _sample_moving(spark, d) -> DataFrame:
+    from ..operators import dynamic, moving
+
+    state = {"omega": 0.05, "gamma": 0.2, "beta": 0.9}
+    edges = [
+        dynamic.MovingEdge(vines.Edge(0, 1, copula=Copula("clayton")), "gas", state), dynamic.MovingEdge(vines.Edge(1, 2, copula=Copula("gumbel", 180)), "gas", state),
+        dynamic.MovingEdge(vines.Edge(0, 2, frozenset({1}), Copula("frank"), 1.5), "mle", {"r": 1.5}),
+    ]
+    got = moving.sample_moving(spark, edges, 100, 256, 5)
+    return got.groupBy("t").agg(F.count(F.lit(1)).alias("paths"), *[((F.min(f"x{i}") > 0) & (F.max(f"x{i}") < 1)).alias(f"inside{i}") for i in range(3)])
+
+
+add("predict_vines_by_user", _predict_vines, f"SELECT user_id, 30::BIGINT AS n, 0.3::DOUBLE AS x0, 0.6::DOUBLE AS x2, true AS drawn, true AS inside FROM ({sql.event_pobs()}) GROUP BY user_id HAVING count(*) > 1")
+add("sample_moving_vine", _sample_moving)
 add(
     "gaussian_hinv_round_trip",
     lambda spark, d: event_pobs(spark, d).groupBy("user_id").agg(

@@ -114,3 +114,30 @@ def event_pobs() -> str:
         "(SELECT user_id, event_id, ts, value, prev, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM "
         "(SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) WHERE prev IS NOT NULL)"
     )
+
+
+def frank_mle(base: str, by: str, points: int = 32, levels: int = 6) -> str:
+    """``by, r, ll, n``: the Frank likelihood of columns u, v at ever finer grids around the best of the one before, from its bound of 1e-4 to 80."""
+    low, step = 1e-4, (80 - 1e-4) / (points - 1)
+    out = f"WITH b AS MATERIALIZED ({base}), m0 AS (SELECT {by}, count(*) AS n FROM b GROUP BY {by})"
+    for k in range(1, levels + 1):
+        at = f"{low} + i*{step!r}::DOUBLE" if k == 1 else f"greatest({low}, r - {wide!r}::DOUBLE + i*{step!r}::DOUBLE)"
+        out += (
+            f", g{k} AS (SELECT DISTINCT {by}, {at} AS r FROM m{k - 1}, range({points}) t(i)), l{k} AS (SELECT {by}, r, sum({fill(LOG_C['frank'], 'u', 'v', 'r')}) AS ll FROM b JOIN g{k} USING ({by}) GROUP BY {by}, r), "
+            f"m{k} AS (SELECT {by}, arg_max(r, ll) AS r, max(ll) AS ll FROM l{k} GROUP BY {by})"
+        )
+        wide, step = step, 2 * step / (points - 1)
+    return f"{out} SELECT {by}, r, ll, n FROM m{levels} JOIN m0 USING ({by})"
+
+
+def t4_ppf(p: str) -> str:
+    """The closed quantile of Student's law with four degrees of freedom."""
+    root = f"least(1.0, sqrt(4*{p}*(1-{p})))"
+    return f"(sign({p}-0.5)*2*sqrt(greatest(0.0, cos(acos({root})/3)/{root}-1)))"
+
+
+def t_cdf(x: str, df: int) -> str:
+    """The closed distribution of five or six degrees of freedom."""
+    a = f"atan(({x})/sqrt({df}.0))"
+    c2 = f"pow(cos({a}),2)"
+    return f"(0.5+({a}+sin({a})*cos({a})*(1+2*{c2}/3))/pi())" if df == 5 else f"(0.5+sin({a})*(1+{c2}/2+3*{c2}*{c2}/8)/2)"
