@@ -31,6 +31,45 @@ class Grid:
     def push(self, w: np.ndarray) -> np.ndarray:
         return w @ self.move
 
+    def pull(self, y: np.ndarray) -> np.ndarray:
+        return self.move @ y
+
+
+@dataclass(frozen=True)
+class SparseGrid:
+    """A grid whose few moves are kept as (row, column, value), by row and column."""
+
+    x: np.ndarray
+    start: np.ndarray
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    kind: str
+
+    @classmethod
+    def of(cls, x, start, row, column, value, kind: str) -> SparseGrid:
+        """Values of one place are added, rows sum to one; rows without any value go to the start law."""
+        k = len(x)
+        key, at = np.unique(row * k + column, return_inverse=True)
+        value = np.bincount(at, value)
+        row, column = key // k, key % k
+        total = np.bincount(row, value, k)
+        if len(empty := np.flatnonzero(total <= 0)):
+            kept = total[row] > 0
+            return cls.of(x, start, np.append(row[kept], np.repeat(empty, k)), np.append(column[kept], np.tile(np.arange(k), len(empty))), np.append(value[kept], np.tile(start, len(empty))), kind)
+        return cls(x, start, row, column, value / total[row], kind)
+
+    def push(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value * w[self.row], len(w))
+
+    def pull(self, y: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * y[self.column], len(y))
+
+    def dense(self) -> Grid:
+        move = np.zeros((len(self.x), len(self.x)))
+        move[self.row, self.column] = self.value
+        return Grid(self.x, self.start, move, self.kind)
+
 
 def _rows(m: np.ndarray) -> np.ndarray:
     m = np.maximum(m, 0.0)
@@ -48,8 +87,8 @@ def ou_nodes(kappa: float, nu: float, dt: float, points: int = 4, reach: float =
     return int(min(most, max(33, np.ceil(2 * reach * points / np.sqrt(max(1e-12, 1 - rho * rho)))))) | 1
 
 
-def ou_dense(kappa, mu, nu, dt, k: int | None = None, reach: float = 5.0, band: float | None = None) -> Grid:
-    """The Gaussian kernel times trapezoid weights; with ``band`` only nodes within so many conditional deviations."""
+def ou_dense(kappa, mu, nu, dt, k: int | None = None, reach: float = 5.0) -> Grid:
+    """The Gaussian kernel times trapezoid weights."""
     sigma, rho = ou_moments(kappa, nu, dt)
     k = k or ou_nodes(kappa, nu, dt, reach=reach)
     z = np.linspace(-reach, reach, k)
@@ -59,10 +98,26 @@ def ou_dense(kappa, mu, nu, dt, k: int | None = None, reach: float = 5.0, band:
     s = np.sqrt(1 - rho * rho)
     far = (z[None, :] - rho * z[:, None]) / s
     kernel = np.exp(-0.5 * far * far) * weight
-    if band is not None:
-        kernel = np.where(np.abs(far) <= band, kernel, 0.0)
-        kernel[kernel.sum(1) == 0, :] = start
-    return Grid(mu + sigma * z, start / start.sum(), _rows(kernel), "dense" if band is None else "banded")
+    return Grid(mu + sigma * z, start / start.sum(), _rows(kernel), "dense")
+
+
+def ou_banded(kappa, mu, nu, dt, k: int | None = None, reach: float = 5.0, band: float = 5.0, most: int = 4001) -> SparseGrid:
+    """The same kernel at nodes within ``band`` conditional deviations alone, so short steps may take thousands of nodes."""
+    sigma, rho = ou_moments(kappa, nu, dt)
+    k = k or ou_nodes(kappa, nu, dt, reach=reach, most=most)
+    z = np.linspace(-reach, reach, k)
+    step, s = z[1] - z[0], np.sqrt(1 - rho * rho)
+    weight = np.full(k, step)
+    weight[[0, -1]] /= 2
+    start = np.exp(-0.5 * z * z) * weight
+    first = np.ceil((rho * z - band * s + reach) / step).astype(int)
+    column = first[:, None] + np.arange(int(2 * band * s / step) + 1)
+    row = np.broadcast_to(np.arange(k)[:, None], column.shape)
+    inside = (column >= 0) & (column < k)
+    row, column = row[inside], column[inside]
+    far = (z[column] - rho * z[row]) / s
+    value = np.where(np.abs(far) <= band, np.exp(-0.5 * far * far) * weight[column], 0.0)
+    return SparseGrid.of(mu + sigma * z, start / start.sum(), row, column, value, "banded")
 
 
 def ou_local(kappa, mu, nu, dt, k: int = 129, reach: float = 5.0, order: int = 9) -> Grid:
@@ -101,7 +156,7 @@ def ou_grid(kappa, mu, nu, n: int, method: str = "auto") -> Grid:
     dt = 1.0 / max(1, n - 1)
     if method == "auto":
         method = "spectral" if kappa * dt > AUTO_STEP else "dense" if ou_nodes(kappa, nu, dt) < 400 else "local"
-    make = {"dense": ou_dense, "matrix": ou_dense, "banded": lambda *a: ou_dense(*a, band=5.0), "local": ou_local, "spectral": ou_spectral}
+    make = {"dense": ou_dense, "matrix": ou_dense, "banded": ou_banded, "local": ou_local, "spectral": ou_spectral}
     return make[method](kappa, mu, nu, dt)
 
 
@@ -110,10 +165,9 @@ def jacobi_law(kappa: float, m: float, xi: float) -> tuple[float, float]:
     return 2 * kappa * m / xi**2, 2 * kappa * (1 - m) / xi**2
 
 
-def jacobi_grid(kappa: float, m: float, xi: float, n: int, k: int = 40) -> Grid:
-    """Jacobi eigenfunctions: the i-th decays by exp(-(kappa i + xi^2 i (i - 1) / 2) dt)."""
+def _jacobi_rule(kappa: float, m: float, xi: float, dt: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Diagonal and off-diagonal of the law's Jacobi matrix on (-1, 1), and the eigenfunctions' decay over a step."""
     a, b = jacobi_law(kappa, m, xi)
-    dt = 1.0 / max(1, n - 1)
     al, be = b - 1.0, a - 1.0
     i = np.arange(k, dtype=float)
     s = 2 * i + al + be
@@ -126,10 +180,121 @@ def jacobi_grid(kappa: float, m: float, xi: float, n: int, k: int = 40) -> Grid:
         off2 = 4 * j * (j + al) * (j + be) * (j + al + be) / (s * s * (s + 1) * (s - 1))
     off2[0] = 4 * (1 + al) * (1 + be) / ((2 + al + be) ** 2 * (3 + al + be))
     decay = np.exp(-(kappa * i + xi * xi * i * (i - 1) / 2) * dt)
-    nodes, w, move = _eigen_move(np.where(np.isfinite(diagonal), diagonal, 0.0), np.sqrt(np.maximum(off2, 0.0)), decay)
+    return np.where(np.isfinite(diagonal), diagonal, 0.0), np.sqrt(np.maximum(off2, 0.0)), decay
+
+
+def jacobi_nodes(xi: float, n: int, least: int = 40, most: int = 320) -> int:
+    """Nodes as far apart as one step's deviation, which in the angle acos(1 - 2 x) is xi sqrt(dt) everywhere."""
+    return int(np.clip(np.ceil(np.pi * np.sqrt(max(1, n - 1)) / xi), least, most))
+
+
+def jacobi_grid(kappa: float, m: float, xi: float, n: int, k: int | None = None) -> Grid:
+    """Local steps on the law's Gauss rule; their correlation is nearer to the process than :func:`jacobi_spectral`'s."""
+    return jacobi_local(kappa, m, xi, n, k or jacobi_nodes(xi, n)).dense()
+
+
+def jacobi_spectral(kappa: float, m: float, xi: float, n: int, k: int = 40) -> Grid:
+    """Jacobi eigenfunctions: the i-th decays by exp(-(kappa i + xi^2 i (i - 1) / 2) dt). Negative weights are cut off."""
+    nodes, w, move = _eigen_move(*_jacobi_rule(kappa, m, xi, 1.0 / max(1, n - 1), k))
     return Grid(np.clip((nodes + 1) / 2, 1e-6, 1 - 1e-6), w / w.sum(), metropolis(_rows(move), w / w.sum()), "jacobi")
 
 
+def jacobi_moments(kappa: float, m: float, xi: float, dt: float, x):
+    """Mean and variance of the process a step after x, exactly: both moments follow linear equations."""
+    fall, q = np.exp(-kappa * dt), 2 * kappa + xi * xi
+    second = np.exp(-q * dt)
+    c = (2 * kappa * m + xi * xi) / q
+    slope = (2 * kappa * m + xi * xi) / (kappa + xi * xi)
+    mean = m + (x - m) * fall
+    return mean, np.maximum(c * m * (1 - second) + slope * (x - m) * (fall - second) + x * x * second - mean * mean, 0.0)
+
+
+def jacobi_local(kappa: float, m: float, xi: float, n: int, k: int = 160, order: int = 5) -> SparseGrid:
+    """Steps of the exact mean and variance from every node of the law's own Gauss rule, to at most two nodes for each of ``order`` targets.
+
+    Moves that the stationary law would not return are refused, so it stays exact.
+    """
+    dt = 1.0 / max(1, n - 1)
+    diagonal, off, _ = _jacobi_rule(kappa, m, xi, dt, k)
+    nodes, vec = np.linalg.eigh(np.diag(diagonal) + np.diag(off, 1) + np.diag(off, -1))
+    x, law = np.clip((nodes + 1) / 2, 1e-6, 1 - 1e-6), vec[0] ** 2 / (vec[0] ** 2).sum()
+    mean, var = jacobi_moments(kappa, m, xi, dt, x)
+    e, w = gauss_hermite(order)
+    low = np.clip(np.searchsorted(x, mean) - 1, 0, k - 2)
+    # a move to two neighbours adds the variance between them, which the targets leave out
+    spread = np.sqrt(np.maximum(var - np.clip((mean - x[low]) * (x[low + 1] - mean), 0.0, None), 0.0))
+    target = np.clip(mean[:, None] + spread[:, None] * e, x[0], x[-1])
+    low = np.clip(np.searchsorted(x, target.ravel()) - 1, 0, k - 2)
+    part = (target.ravel() - x[low]) / (x[low + 1] - x[low])
+    row, weight = np.repeat(np.arange(k), order), np.tile(w / w.sum(), k)
+    g = SparseGrid.of(x, law, np.concatenate([row, row]), np.concatenate([low, low + 1]), np.concatenate([weight * (1 - part), weight * part]), "jacobi-local")
+    return _sparse_metropolis(g)
+
+
+def _sparse_metropolis(g: SparseGrid) -> SparseGrid:
+    k, law = len(g.x), np.maximum(g.start, 1e-300)
+    key, flow = g.row * k + g.column, law[g.row] * g.value
+    back = g.column * k + g.row
+    at = np.minimum(np.searchsorted(key, back), len(key) - 1)
+    both = np.where(key[at] == back, np.minimum(flow, flow[at]), 0.0) / law[g.row]
+    stay = 1.0 - np.bincount(g.row, both, k)
+    i = np.arange(k)
+    return SparseGrid.of(g.x, g.start, np.append(g.row, i), np.append(g.column, i), np.append(both, np.maximum(stay, 0.0)), g.kind)
+
+
+def jacobi_diagnostics(g: Grid | SparseGrid, kappa: float, m: float, xi: float, n: int) -> dict:
+    """How far a grid is from the process: total variation of its law over a step, its variance, and its correlation over all steps of a path."""
+    a, b = jacobi_law(kappa, m, xi)
+    p, x = g.start, g.x
+    mean = p @ x
+    var = p @ (x - mean) ** 2
+    y, steps = x - mean, min(max(1, n - 1), 200)
+    for _ in range(steps):
+        y = g.pull(y)
+    want = np.exp(-kappa * steps / max(1, n - 1))
+    return {"variation": 0.5 * float(np.abs(g.push(p) - p).sum()), "variance": float(var / (a * b / ((a + b) ** 2 * (a + b + 1))) - 1.0), "correlation": float(p @ ((x - mean) * y) / var - want)}
+
+
+def select_jacobi_order(kappa: float, m: float, xi: float, n: int, ladder=(40, 80, 160, 320, 640), variation: float = 1e-8, variance: float = 0.02, correlation: float = 0.05) -> tuple[SparseGrid, list[dict]]:
+    """The smallest sparse grid of the ladder that meets all bounds, else the one nearest in correlation, and what each step gave."""
+    tried, grids = [], []
+    for k in ladder:
+        g = jacobi_local(kappa, m, xi, n, k)
+        d = jacobi_diagnostics(g, kappa, m, xi, n)
+        passed = d["variation"] <= variation and abs(d["variance"]) <= variance and abs(d["correlation"]) <= correlation
+        tried.append({"k": k, **d, "passed": bool(passed)})
+        grids.append(g)
+        if passed:
+            return g, tried
+    return grids[int(np.argmin([abs(d["correlation"]) for d in tried]))], tried
+
+
+def jacobi_coefficients(copula: Copula, u, v, params, k: int = 40) -> tuple[Filtered, Grid]:
+    """The filter that carries the state's density as coefficients of the eigenfunctions: a step is a product with their decay.
+
+    Densities are floored at zero at the nodes of the rule. Returns the weights there and the grid that they are on.
+    """
+    kappa, m, xi = params
+    diagonal, off, decay = _jacobi_rule(kappa, m, xi, 1.0 / max(1, len(u) - 1), k)
+    nodes, vec = np.linalg.eigh(np.diag(diagonal) + np.diag(off, 1) + np.diag(off, -1))
+    law = vec[0] ** 2 / (vec[0] ** 2).sum()
+    basis = vec / np.where(np.abs(vec[0]) < 1e-150, 1e-150, vec[0])
+    grid = Grid(np.clip((nodes + 1) / 2, 1e-6, 1 - 1e-6), law, np.eye(k), "jacobi")
+    log_e = emissions(copula, u, v, parameters(copula, grid))
+    a, total, out, w = np.zeros(k), 0.0, np.empty_like(log_e), law
+    a[0] = 1.0
+    for t, row in enumerate(log_e):
+        w = law * np.maximum(basis.T @ a, 0.0)
+        w = out[t] = w / w.sum()
+        top = row.max()
+        w = w * np.exp(row - top)
+        mass = w.sum()
+        total += top + np.log(mass)
+        w = w / mass
+        a = decay * (basis @ w)
+    return Filtered(out, w, float(total)), grid
+
+
 def metropolis(move: np.ndarray, law: np.ndarray) -> np.ndarray:
     """Accept moves so that ``law`` is stationary; what is refused stays."""
     law = np.maximum(law, 1e-300)
@@ -146,7 +311,7 @@ def emissions(copula: Copula, u, v, r) -> np.ndarray:
 
 def parameters(copula: Copula, grid: Grid) -> np.ndarray:
     """Grid nodes as copula parameters: by the link, or from tau on a Jacobi grid."""
-    if grid.kind == "jacobi":
+    if grid.kind.startswith("jacobi"):
         return np.array([copula.start(copula.sign * float(t)) for t in grid.x])
     return copula.base.link(copula.link).forward(num, grid.x)
 
@@ -181,7 +346,7 @@ def smooth(grid: Grid, log_e: np.ndarray) -> np.ndarray:
         e = np.exp(log_e[t] - log_e[t].max())
         w = f.predictive[t] * e * back
         out[t] = w / w.sum()
-        back = grid.move @ (e * back)
+        back = grid.pull(e * back)
         back = back / back.max()
     return out
 
@@ -283,7 +448,7 @@ def sample_latent(grid: Grid, n: int, rng: np.random.Generator) -> np.ndarray:
     """A path of grid values."""
     at = rng.choice(len(grid.x), p=grid.start / grid.start.sum())
     out = np.empty(n)
-    cumulative = np.cumsum(grid.move, axis=1)
+    cumulative = np.cumsum((grid if isinstance(grid, Grid) else grid.dense()).move, axis=1)
     for t in range(n):
         if t:
             at = min(int(np.searchsorted(cumulative[at], rng.uniform() * cumulative[at, -1])), len(grid.x) - 1)

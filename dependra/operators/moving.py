@@ -70,7 +70,7 @@ def sample_paths(edges: Sequence[MovingEdge], n: int, count: int, rng: np.random
     return out
 
 
-def sample_moving(spark: SparkSession, edges: Sequence[MovingEdge], n: int, count: int, seed: int = 0, batch: int = 64) -> DataFrame:
+def sample_moving(spark: SparkSession, edges: Sequence[MovingEdge], n: int, count: int, seed: int = 0, batch: int = 512) -> DataFrame:
     """``path, t, x0 ..``: new paths. A path's draws depend on the seed and its batch, not on partitions or retries."""
     edges = list(edges)
     d = _vine(edges).d
