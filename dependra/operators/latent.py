@@ -183,7 +183,7 @@ def _jacobi_rule(kappa: float, m: float, xi: float, dt: float, k: int) -> tuple[
     return np.where(np.isfinite(diagonal), diagonal, 0.0), np.sqrt(np.maximum(off2, 0.0)), decay
 
 
-def jacobi_nodes(xi: float, n: int, least: int = 40, most: int = 320) -> int:
+def jacobi_nodes(xi: float, n: int, least: int = 40, most: int = 160) -> int:
     """Nodes as far apart as one step's deviation, which in the angle acos(1 - 2 x) is xi sqrt(dt) everywhere."""
     return int(np.clip(np.ceil(np.pi * np.sqrt(max(1, n - 1)) / xi), least, most))
 
