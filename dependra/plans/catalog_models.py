@@ -353,7 +353,14 @@ def _dynamic_vines(spark, d) -> DataFrame:
     return dynamic.fit_vines(_triples(spark, d), _EV3, ["user_id"], ["event_id"], "r", "gas").select("user_id", "tree", "a", "b", "family", "rotation", "method")
 
 
-add("fit_equicorr_mle_by_user", _dynamic("equicorr", "mle"))
+_TRIPLES = (
+    "SELECT user_id, " + ", ".join(f"{sql.rank(c, 'event_id', 'user_id')} AS u{i}" for i, c in enumerate(("value", "p1", "p2")))
+    + " FROM (SELECT user_id, event_id, value, lag(value, 1) OVER w AS p1, lag(value, 2) OVER w AS p2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE p2 IS NOT NULL"
+)
+add("fit_equicorr_mle_by_user", _dynamic("equicorr", "mle"),
+    f"WITH z AS (SELECT user_id, {', '.join(f'{sql.norm_ppf(f"u{i}")} AS z{i}' for i in range(3))} FROM ({_TRIPLES})), "
+    "t AS (SELECT user_id, count(*) AS n, sum(pow(z0+z1+z2, 2)) AS a, sum(z0*z0+z1*z1+z2*z2) AS b FROM z GROUP BY user_id), g AS (SELECT (i*1e-4-0.4999)::DOUBLE AS rho FROM range(14998) t(i)) "
+    "SELECT user_id, 'mle' AS method, round(max(-0.5*(n*(2*ln(1-rho)+ln(1+2*rho))+rho/(1-rho)*b-rho/((1-rho)*(1+2*rho))*a)), 2) + 0.0 AS log_likelihood FROM t, g GROUP BY user_id")
 add("fit_equicorr_gas_by_user", _dynamic("equicorr", "gas"))
 add("fit_equicorr_scar_by_user", _dynamic("equicorr", "scar-tm-ou"))
 add("fit_vines_gas_by_user", _dynamic_vines)
